@@ -30,7 +30,7 @@ class Shape:
 
 
 BYTES = Shape(False, 400, 273)
-WORDS = Shape(True, 13, 4)
+WORDS = Shape(True, 13, 6)
 
 
 @dataclass

@@ -67,7 +67,10 @@ def _scan(most: int):
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["d", "t", "start", "n", "core", "w"])
 
         for b in batches:
-            for c, *r in zip(*(b[k].to_pylist() for k in ("core", "seg", "d", "t", "start", "n", "windows"))):
+            for c, copies, *r in zip(*(b[k].to_pylist() for k in ("core", "copies", "seg", "d", "t", "start", "n", "windows"))):
+                if not copies:
+                    out.append((*r[1:5], None, None))
+                    continue
                 if c != core:
                     close()
                     core, held, deferred = c, [], False
@@ -93,14 +96,12 @@ def repeats(docs: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     docs = texts(docs)
-    rows = stored(repeated_segments(docs, WORDS, null_ids=False), "segments")
-    at_once = rows.filter("copies = 0").select("d", "t", "start", "n")
-    sorted_rows = rows.filter("copies > 0").repartition("core").sortWithinPartitions("core", "seg", "d")
-    found = stored(sorted_rows.mapInArrow(_scan(most_rows), FOUND), "repeats")
+    rows = repeated_segments(docs, WORDS, null_ids=False).repartition("core").sortWithinPartitions("core", "seg", "d")
+    found = stored(rows.mapInArrow(_scan(most_rows), FOUND), "repeats")
     hot = found.filter("core is not null")
     least = hot.groupBy("core", "w").agg(F.min("d").alias("least"))
     late = hot.join(least, ["core", "w"]).filter("least < d").select("d", "t", "start", "n")
-    return at_once.union(found.filter("core is null").select("d", "t", "start", "n")).union(late)
+    return found.filter("core is null").select("d", "t", "start", "n").union(late)
 
 
 def _cover(n_words: int, spans: list[tuple[int, int]], length: int) -> np.ndarray:

@@ -121,7 +121,9 @@ def _groups(batches):
 
     for b in batches:
         for c, s, d, t, start, n, copies in zip(*(b[k].to_pylist() for k in ("core", "seg", "d", "t", "start", "n", "copies"))):
-            if c != core or s != seg:
+            if not copies:
+                out.append((d, t, start, n, True, False, c))
+            elif c != core or s != seg:
                 if c == core:
                     several = True
                 send()
@@ -219,9 +221,8 @@ def repeats(docs: DataFrame, most_fragments: int = MOST_FRAGMENTS, batch: int =
     """
     small_batches(docs.sparkSession)
     docs = texts(docs)
-    rows = stored(repeated_segments(docs, BYTES, null_ids=True).drop("windows"), "segments")
-    at_once = rows.filter("copies = 0").select("d", "t", "start", "n")
-    found = stored(rows.filter("copies > 0").repartition("core").sortWithinPartitions("core", "seg", "d", "t", "start").mapInArrow(_groups, "d long, t long, start long, n long, covered boolean, content boolean, core long"), "covered")
+    rows = repeated_segments(docs, BYTES, null_ids=True).drop("windows").repartition("core").sortWithinPartitions("core", "seg", "d", "t", "start")
+    found = stored(rows.mapInArrow(_groups, "d long, t long, start long, n long, covered boolean, content boolean, core long"), "covered")
     covered = found.filter("covered").select("d", "t", "start", "n")
     per = found.filter("content").groupBy("d", "t").agg(F.collect_list(F.struct("start", "n", "covered", "core")).alias("spans"))
     # Rows that repeat a document in full count once here: their spans are covered already.
@@ -230,7 +231,7 @@ def repeats(docs: DataFrame, most_fragments: int = MOST_FRAGMENTS, batch: int =
     marked = stored(fragments.repartition("core").sortWithinPartitions("core").mapInArrow(_index(most_fragments, batch), "d long, t long, start long, n long, w1 long, w2 long"), "repeats")
     late = marked.filter("w1 is not null")
     twice = late.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    return at_once.union(covered).union(marked.filter("w1 is null").select("d", "t", "start", "n")).union(late.join(twice, ["w1", "w2"]).select("d", "t", "start", "n"))
+    return covered.union(marked.filter("w1 is null").select("d", "t", "start", "n")).union(late.join(twice, ["w1", "w2"]).select("d", "t", "start", "n"))
 
 
 def removed(n_bytes: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
