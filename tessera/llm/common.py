@@ -130,8 +130,18 @@ def joined(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tag(text: bytes) -> int:
-    """With doc_id it tells rows apart that repeat an id with another text."""
-    return xxhash.xxh3_64_intdigest(text) >> 32
+    """24 bits; with doc_id they tell rows apart that repeat an id with another text."""
+    return xxhash.xxh3_64_intdigest(text) >> 40
+
+
+def place(t: np.ndarray, start: np.ndarray, n: np.ndarray, copy: np.ndarray) -> np.ndarray:
+    """A text's tag (24 bits), a start in it (31), how many windows (8) and whether it copies a segment at hand (1), as one long."""
+    return ((t.astype(np.uint64) << np.uint64(40)) | (start.astype(np.uint64) << np.uint64(9)) | (n.astype(np.uint64) << np.uint64(1)) | copy.astype(np.uint64)).view(np.int64)
+
+
+def placed(x: int) -> tuple[int, int, int, int]:
+    """t, start, n and copy of a place."""
+    return (x >> 40) & 0xFFFFFF, (x >> 9) & 0x7FFFFFFF, (x >> 1) & 0xFF, x & 1
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -168,9 +178,5 @@ def with_spans(docs: DataFrame, spans: DataFrame, finish, schema: str) -> DataFr
     return both.mapInArrow(go, schema)
 
 
-def local_path(path: str) -> str:
-    return path[7:] if path.startswith("file://") else path
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

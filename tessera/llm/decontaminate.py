@@ -32,6 +32,8 @@ class Index:
         self.after: dict[bytes, set] = {}
         for item, ws in items:
             size = min(window, len(ws))
+            if not size:
+                continue
             for i in range(len(ws) - size + 1):
                 w = tuple(ws[i : i + size])
                 at = min(range(size), key=lambda k: (frequency.get(w[k], 0), k))

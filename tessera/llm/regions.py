@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE1, BYTE2, ONE, SPACE, TWO, chunks, joined, mix, tag, utf8, word_bounds, word_hashes
+from .common import BYTE1, BYTE2, NULL_ID, ONE, TWO, chunks, joined, mix, place, tag, utf8, word_bounds, word_hashes
 
 BLOCK_BITS = 16
 
@@ -40,7 +40,6 @@ class Segments:
     seg: np.ndarray
     start: np.ndarray  # of the first window, in symbols from the text's start
     n: np.ndarray  # windows
-    windows: np.ndarray | None  # with words: the hash of every window, segment by segment
     n_symbols: np.ndarray  # of each text
 
 
@@ -56,7 +55,7 @@ def segments(values: list[bytes], shape: Shape) -> Segments:
     n, length, gram = len(one), shape.length, shape.gram
     none = np.zeros(0, np.int64)
     if n < length:
-        return Segments(none, none, none, none, none, none if shape.words else None, np.diff(at))
+        return Segments(none, none, none, none, none, np.diff(at))
     sums1, sums2 = ONE.prefix(one), TWO.prefix(two)
     ONE.grow(n + 1), TWO.grow(n + 1)
     grams = n - gram + 1
@@ -88,11 +87,17 @@ def segments(values: list[bytes], shape: Shape) -> Segments:
     a = anchor[lo]
     seg = mix((sums2[stop + length - 1] - sums2[lo]) * TWO.down[lo] + ((a - lo).astype(np.uint64) << np.uint64(40)) + (stop - lo).astype(np.uint64))
     doc = np.searchsorted(at, lo, side="right") - 1
-    windows = None
-    if shape.words:
-        w = mix((sums2[length:] - sums2[: n - length + 1]) * TWO.down[: n - length + 1])
-        windows = w[ok].view(np.int64)
-    return Segments(doc, core[a].view(np.int64), seg.view(np.int64), lo - at[:-1][doc], stop - lo, windows, sizes)
+    return Segments(doc, core[a].view(np.int64), seg.view(np.int64), lo - at[:-1][doc], stop - lo, sizes)
+
+
+def window_hashes(text: bytes) -> np.ndarray:
+    """64 bits for each window of words; together with the window's core they are 128."""
+    buf, offsets = joined([text])
+    starts, ends, _ = word_bounds(buf, offsets)
+    words = mix(word_hashes(buf, starts, ends) ^ np.uint64(0x5851F42D4C957F2D))
+    k = max(0, len(words) - WORDS.length + 1)
+    sums = TWO.prefix(words)
+    return mix((sums[WORDS.length :] - sums[:k]) * TWO.down[:k]).view(np.int64) if k else np.zeros(0, np.int64)
 
 
 def slots(core: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -102,9 +107,9 @@ def slots(core: np.ndarray, bits: int) -> list[np.ndarray]:
 
 
 def sketch_bits(docs: DataFrame, most: int = 26) -> int:
-    """Counters for the text at hand, 2**most a row at the most: beyond, more passes the filter and is grouped exactly."""
+    """A counter in each row for about every 12 bytes of text, 2**most at the most: beyond, more passes the filter and is grouped exactly."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return min(most, max(BLOCK_BITS, int(size // 4).bit_length()))
+    return min(most, max(BLOCK_BITS, int(size // 16).bit_length()))
 
 
 def repeated(docs: DataFrame, shape: Shape, bits: int, flush: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
@@ -168,17 +173,12 @@ def passes(core: np.ndarray, bits: int, twice: tuple[np.ndarray, np.ndarray]) ->
     return keep
 
 
-SEGMENT_SCHEMA = "core long, seg long, d long, t long, start long, n long, copies int, windows binary"
-
-
 def repeated_segments(docs: DataFrame, shape: Shape, null_ids: bool) -> DataFrame:
-    """The segments whose core the prefilter can't rule out, as SEGMENT_SCHEMA has them; null_ids: whether rows without doc_id count.
+    """The segments whose core the prefilter can't rule out: core, seg, d and their place (see common.place); null_ids: whether rows without doc_id count.
 
-    Equal segments of one batch are combined before the shuffle: the one of the least d goes on, the others come with copies = 0 beside it and need no
-    comparison (of copies, the first knows how many it stands for).
+    Equal segments of one batch are compared before the shuffle: all but the first, in the order of d, say that they are copies, and need no more comparison.
+    With words, those that have the first one's d don't.
     """
-    from .common import NULL_ID
-
     bits = sketch_bits(docs)
     twice = docs.sparkSession.sparkContext.broadcast(repeated(docs, shape, bits))
 
@@ -192,32 +192,21 @@ def repeated_segments(docs: DataFrame, shape: Shape, null_ids: bool) -> DataFram
                 keep = passes(s.core, bits, twice.value)
                 if not null_ids:
                     keep &= ids[i:j][s.doc] != NULL_ID
-                if not keep.any():
-                    continue
-                doc = s.doc[keep] + i
-                cut = None
-                if shape.words:
-                    ends = np.cumsum(s.n)
-                    raw = s.windows.tobytes()
-                    cut = [raw[8 * (e - k) : 8 * e] for e, k in zip(ends[keep].tolist(), s.n[keep].tolist())]
-                held.append((s.core[keep], s.seg[keep], ids[doc], doc, s.start[keep], s.n[keep], cut))
+                if keep.any():
+                    held.append((s.core[keep], s.seg[keep], s.doc[keep] + i, s.start[keep], s.n[keep]))
             if not held:
                 continue
-            core, seg, d, doc, start, n = (np.concatenate([h[k] for h in held]) for k in range(6))
-            t_of = {k: tag(values[k]) for k in np.unique(doc).tolist()}
-            t = np.array([t_of[k] for k in doc.tolist()], np.int64)
+            core, seg, doc, start, n = (np.concatenate([h[k] for h in held]) for k in range(5))
+            tags = np.zeros(len(values), np.int64)
+            for k in np.unique(doc).tolist():
+                tags[k] = tag(values[k])
+            d, t = ids[doc], tags[doc]
             order = np.lexsort((start, t, d, seg, core))
             core, seg, d, t, start, n = (x[order] for x in (core, seg, d, t, start, n))
             first = np.r_[True, (core[1:] != core[:-1]) | (seg[1:] != seg[:-1])]
-            copies = np.where(first, np.diff(np.r_[np.flatnonzero(first), len(first)])[np.cumsum(first) - 1], 0).astype(np.int32)
+            copy = ~first
             if shape.words:
-                cuts = [x for h in held for x in h[6]]
-                # Equal segments of a document with the same d aren't a smaller document's: they go on as well.
-                same = ~first & (d == d[np.maximum.accumulate(np.where(first, np.arange(len(d)), 0))])
-                copies[same] = 1
-                blob = pa.array([cuts[k] if c else None for k, c in zip(order.tolist(), copies.tolist())], pa.binary())
-            else:
-                blob = pa.nulls(len(core), pa.binary())
-            yield pa.RecordBatch.from_arrays([*map(pa.array, (core, seg, d, t, start, n, copies)), blob], ["core", "seg", "d", "t", "start", "n", "copies", "windows"])
-
-    return docs.mapInArrow(go, SEGMENT_SCHEMA)
+                copy &= d != d[np.maximum.accumulate(np.where(first, np.arange(len(d)), 0))]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (core, seg, d, place(t, start, n, copy)))], ["core", "seg", "d", "place"])
+
+    return docs.mapInArrow(go, "core long, seg long, d long, place long")

@@ -3,104 +3,100 @@
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, table, texts, with_spans
-from .regions import WORDS, repeated_segments
-
-#: Rows of a core beyond which its windows are grouped by Spark one by one instead of in one task's memory; either way is exact.
-MOST_ROWS = 20_000
-WORD = re.compile(rb"[^\x20\x09-\x0d]+")
-FOUND = "d long, t long, start long, n long, core long, w long"
-
-
-def _runs(removed: list[bool]):
-    start = None
-    for i, x in enumerate([*removed, False]):
-        if x and start is None:
-            start = i
-        elif not x and start is not None:
-            yield start, i - start
-            start = None
-
-
-def _of_core(rows: list[tuple], out: list[tuple]) -> None:
-    """rows (seg, d, t, start, n, windows) of one core by seg, d: appends the runs of windows that a smaller d has."""
-    firsts = [r for i, r in enumerate(rows) if not i or r[0] != rows[i - 1][0]]
-    if len(firsts) == 1:
-        out += [(d, t, s, n, None, None) for _, d, t, s, n, _ in rows if d > firsts[0][1]]
-        return
-    least: dict[bytes, int] = {}
-    for _, d, _, _, n, w in firsts:
-        for i in range(0, 8 * n, 8):
-            k = w[i : i + 8]
-            if least.get(k, d) >= d:
-                least[k] = d
-    for seg, d, t, s, n, w in rows:
-        out += [(d, t, s + a, k, None, None) for a, k in _runs([least[w[i : i + 8]] < d for i in range(0, 8 * n, 8)])]
-
-
-def _scan(most: int):
-    def go(batches):
-        core, held, deferred = None, [], False
-        out: list[tuple] = []
-
-        def windows(r):
-            _, d, t, s, n, w = r
-            return [(d, t, s + i, 1, core, int(x)) for i, x in enumerate(np.frombuffer(w, np.int64))]
-
-        def close():
-            if deferred:
-                for r in held:
-                    out.extend(windows(r))
-            elif len(held) > 1:
-                _of_core(held, out)
-
-        def flush():
-            cols = list(zip(*out))
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["d", "t", "start", "n", "core", "w"])
-
-        for b in batches:
-            for c, copies, *r in zip(*(b[k].to_pylist() for k in ("core", "copies", "seg", "d", "t", "start", "n", "windows"))):
-                if not copies:
-                    out.append((*r[1:5], None, None))
-                    continue
-                if c != core:
-                    close()
-                    core, held, deferred = c, [], False
-                held.append(tuple(r))
-                if len(held) > most:
-                    deferred = True
-                    for x in held:
-                        out.extend(windows(x))
-                    held = []
-                if len(out) > 50_000:
-                    yield flush()
-        close()
-        if out:
-            yield flush()
-
-    return go
-
-
-def repeats(docs: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
+from .common import packed, place, placed, small_batches, stored, table, texts, with_spans
+from .regions import WORDS, repeated_segments, window_hashes
+
+#: Rows of one segment that wait for its core's second one; with more, they are compared window by window at once.
+MOST_WAITING = 1_000
+SPANS = "d long, t long, start long, n long"
+
+
+def _spans(rows: list[tuple], extra: list | None = None) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [[]] * (5 if extra else 4)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["d", "t", "start", "n", *(extra or [])])
+
+
+def _segments(batches):
+    """Rows by core, seg and d. Segments that a smaller d has as a whole come out as removed (core null); others, where their core has several segments, come
+    out with their core, to be compared window by window. Up to MOST_WAITING rows wait for a core's second segment; beyond, they come out in any case.
+    """
+    core = seg = least = None
+    waiting: list[tuple] = []
+    open_now = False
+    for b in batches:
+        out = []
+        for c, s, d, at in zip(*(b[k].to_pylist() for k in ("core", "seg", "d", "place"))):
+            t, start, n, copy = placed(at)
+            if copy:
+                out.append((d, t, start, n, None))
+                continue
+            if c != core:
+                core, seg, least, waiting, open_now = c, s, d, [], False
+            elif s != seg:
+                out += waiting
+                seg, least, waiting, open_now = s, d, [], True
+            if d > least:
+                out.append((d, t, start, n, None))
+            elif open_now:
+                out.append((d, t, start, n, c))
+            else:
+                waiting.append((d, t, start, n, c))
+                if len(waiting) >= MOST_WAITING:
+                    out += waiting
+                    waiting, open_now = [], True
+        yield _spans(out, ["core"])
+
+
+def _cut(batches):
+    """The windows of the segments that are still open."""
+    z = zstandard.ZstdDecompressor()
+    for b in batches:
+        cols: list[list[np.ndarray]] = [[], [], [], []]
+        for d, t, text, spans in zip(*(b[k].to_pylist() for k in ("d", "t", "z", "spans"))):
+            hashes = window_hashes(z.decompress(text))
+            start, n, core = (np.array([x[k] for x in spans], np.int64) for k in ("start", "n", "core"))
+            i = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+            one = np.ones(len(i), np.int64)
+            for to, x in zip(cols, (np.repeat(core, n), hashes[i], one * d, place(one * t, i, one, one * 0))):
+                to.append(x)
+        none = [np.zeros(0, np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x or none)) for x in cols], ["core", "w", "d", "place"])
+
+
+def _windows(batches):
+    """Rows by core, w and d: each but those of the least d is removed."""
+    key = least = None
+    for b in batches:
+        out = []
+        for c, w, d, at in zip(*(b[k].to_pylist() for k in ("core", "w", "d", "place"))):
+            if (c, w) != key:
+                key, least = (c, w), d
+            elif d > least:
+                out.append((d, *placed(at)[:3]))
+        yield _spans(out)
+
+
+def repeats(docs: DataFrame) -> DataFrame:
     """(d, t, start, n): runs of n windows of 13 words from the word start on that a document with a smaller id has; see with_spans.
 
-    Windows, by their anchors, are counted in a count-min sketch first; a second pass groups exactly what it estimates as repeated.
+    Windows, by their anchors, are counted in a count-min sketch first; a second pass groups exactly what it estimates as repeated: segments as a whole, and
+    window by window where a core has several segments. Groups are runs of sorted rows that pass one by one, whatever their size.
     """
     small_batches(docs.sparkSession)
     docs = texts(docs)
     rows = repeated_segments(docs, WORDS, null_ids=False).repartition("core").sortWithinPartitions("core", "seg", "d")
-    found = stored(rows.mapInArrow(_scan(most_rows), FOUND), "repeats")
-    hot = found.filter("core is not null")
-    least = hot.groupBy("core", "w").agg(F.min("d").alias("least"))
-    late = hot.join(least, ["core", "w"]).filter("least < d").select("d", "t", "start", "n")
+    found = stored(rows.mapInArrow(_segments, SPANS + ", core long"), "segments")
+    per = found.filter("core is not null").groupBy("d", "t").agg(F.collect_list(F.struct("start", "n", "core")).alias("spans"))
+    source = packed(docs.filter("doc_id is not null")).dropDuplicates(["d", "t"]).join(per, ["d", "t"])
+    windows = source.mapInArrow(_cut, "core long, w long, d long, place long").repartition("core", "w").sortWithinPartitions("core", "w", "d")
+    late = stored(windows.mapInArrow(_windows, SPANS), "windows")
     return found.filter("core is null").select("d", "t", "start", "n").union(late)
 
 
@@ -119,13 +115,13 @@ def _finish(doc_id, text: bytes, spans):
     return doc_id, len(words), int(gone.sum()), hashlib.sha256(b" ".join(kept)).hexdigest()
 
 
-def substring_dedup(docs: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
+def substring_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for each row.
 
     Null and empty texts have no words and come back with the hash of nothing. Rows that repeat an id are one document: none is smaller than the other.
     A row without doc_id is neither smaller nor larger than any: it keeps all and lets the others be. Whole texts of any length count.
     """
-    return with_spans(texts(docs), repeats(docs, most_rows), _finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return with_spans(texts(docs), repeats(docs), _finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def cut_text(text: str, spans: list[tuple[int, int]]) -> str:

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, small_batches, stored, table, texts, with_spans
+from .common import packed, placed, small_batches, stored, table, texts, with_spans
 from .regions import BYTES, repeated_segments
 
 LENGTH = BYTES.length
@@ -120,18 +120,17 @@ def _groups(batches):
         return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:4]], pa.array(cols[4], pa.bool_()), pa.array(cols[5], pa.bool_()), pa.array(cols[6], pa.int64())], ["d", "t", "start", "n", "covered", "content", "core"])
 
     for b in batches:
-        for c, s, d, t, start, n, copies in zip(*(b[k].to_pylist() for k in ("core", "seg", "d", "t", "start", "n", "copies"))):
-            if not copies:
-                out.append((d, t, start, n, True, False, c))
-            elif c != core or s != seg:
+        for c, s, d, at in zip(*(b[k].to_pylist() for k in ("core", "seg", "d", "place"))):
+            t, start, n, copy = placed(at)
+            if c != core or s != seg:
                 if c == core:
                     several = True
                 send()
                 if c != core:
                     several = False
-                core, seg, wait, many = c, s, (d, t, start, n), copies
+                core, seg, wait, many = c, s, (d, t, start, n), 1 + copy
             else:
-                many += copies
+                many += 1
                 out.append((d, t, start, n, True, False, core))
             if len(out) > 50_000:
                 yield flush()
@@ -221,7 +220,7 @@ def repeats(docs: DataFrame, most_fragments: int = MOST_FRAGMENTS, batch: int =
     """
     small_batches(docs.sparkSession)
     docs = texts(docs)
-    rows = repeated_segments(docs, BYTES, null_ids=True).drop("windows").repartition("core").sortWithinPartitions("core", "seg", "d", "t", "start")
+    rows = repeated_segments(docs, BYTES, null_ids=True).repartition("core").sortWithinPartitions("core", "seg", "d", "place")
     found = stored(rows.mapInArrow(_groups, "d long, t long, start long, n long, covered boolean, content boolean, core long"), "covered")
     covered = found.filter("covered").select("d", "t", "start", "n")
     per = found.filter("content").groupBy("d", "t").agg(F.collect_list(F.struct("start", "n", "covered", "core")).alias("spans"))

@@ -93,9 +93,14 @@ def test_substring_dedup_is_exact(spark, seed):
     same(substring.substring_dedup(frame(spark, rows)), brute3(rows))
 
 
-def test_substring_dedup_with_hot_cores(spark):
+def test_substring_dedup_with_one_batch_a_row(spark):
     rows = corpus(3)
-    same(substring.substring_dedup(frame(spark, rows), most_rows=2), brute3(rows))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        same(substring.substring_dedup(frame(spark, rows)), brute3(rows))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
 
 
 def test_substring_dedup_awkward(spark):
