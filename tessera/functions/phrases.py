@@ -1,0 +1,55 @@
+"""Patterns as phrases: sequences, alternatives and optional parts, which give a regular expression and the literals that any match needs."""
+
+from __future__ import annotations
+
+import re
+
+
+class Phrase(str):
+    """A regular expression and its needs: literals in lower case of which each match has one; None if nothing is known."""
+
+    needs: frozenset[str] | None
+
+
+def _phrase(text: str, needs: frozenset[str] | None) -> Phrase:
+    p = Phrase(text)
+    p.needs = needs
+    return p
+
+
+def _literal(x: str) -> Phrase:
+    """The longest run of plain letters that the text itself can't do without."""
+    if isinstance(x, Phrase):
+        return x
+    if "|" in x:
+        return _phrase(x, None)
+    plain = re.sub(r"\[\^?\\?.[^\]]*\][?*+]?(?:\{[^}]*\})?", "\0", x)  # classes
+    plain = re.sub(r"\\[bsSdDwW][?*+]?", "\0", plain)
+    plain = re.sub(r"\\(.)", lambda m: m[1] if m[1] in "./-<>" else "\0", plain)
+    plain = re.sub(r".[?*]|.\{[^}]*\}", "\0", plain).replace("+", "\0").replace("^", "\0").replace("$", "\0").replace("(", "\0")
+    plain = re.sub(r"(?<!\w)\.|\.(?=\0|$)", "\0", plain)
+    runs = [r for r in re.split(r"[^a-zA-Z0-9_/ <>=!%-]+", plain) if len(r) >= 2]
+    return _phrase(x, frozenset({max(runs, key=len).lower()}) if runs else None)
+
+
+def _score(needs: frozenset[str] | None) -> tuple:
+    return (0,) if needs is None else (1, min(map(len, needs)), -len(needs))
+
+
+def seq(*parts: str) -> Phrase:
+    known = [_literal(p) for p in parts]
+    return _phrase("".join(known), max((p.needs for p in known), key=_score))
+
+
+def one(*parts: str) -> Phrase:
+    known = [_literal(p) for p in parts]
+    needs = None if any(p.needs is None for p in known) else frozenset().union(*(p.needs for p in known))
+    return _phrase("(?:" + "|".join(known) + ")", needs)
+
+
+def maybe(*parts: str) -> Phrase:
+    return _phrase(one(*parts) + "?", None)
+
+
+def needs(p: str) -> frozenset[str] | None:
+    return _literal(p).needs

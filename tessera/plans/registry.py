@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import base, scanning  # noqa: F401
+
+QUERIES = base.QUERIES
+SQL = base.SQL
 FLAGSHIP = "scan_by_source"
