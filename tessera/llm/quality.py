@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from .common import LOWER, chunks, joined, small_batches, table, texts, utf8, word_bounds, word_hashes
 
 #: Documents whose features and posterior labels the scorer is fitted to.
-MOST_FITTED = 4_000
+MOST_FITTED = 3_000
 #: Labelled rows from which the lexicon of toxic words is learned.
 MOST_LABELLED = 8_000
 BITS = 17
+#: Words that say nothing are added to each text, so that the few of a short one don't decide alone.
+DAMP = 5
 GOOD, BAD, NONE = 1, 0, 2
 LABELLERS = ("symbols", "capitals", "stutter", "variety", "sentences", "word_length", "lines")
 SYMBOLS = b"|#%$&*!~^=<>{}\\"
@@ -53,9 +55,14 @@ def votes(text: bytes) -> tuple[int, ...]:
     )
 
 
+#: What labellers are held to: each looks for one defect and calls at most so much of the good bad. Defects seldom coincide, so agreement alone would take
+#: the commonest one for the only one.
+FALSE_ALARMS = 0.002
+
+
 @dataclass
 class LabelModel:
-    """prior: P(good); seen[l, y, v]: P(labeller l says v | class y, 1 for good)."""
+    """prior: P(good); seen[l, y, v]: P(labeller l votes v | class y, no abstention), y and v being BAD and GOOD."""
 
     prior: float
     seen: np.ndarray
@@ -70,22 +77,26 @@ class LabelModel:
         p = np.exp(log)
         return p[:, 1] / p.sum(1)
 
+    def accuracy(self) -> np.ndarray:
+        """P(a labeller is right | it doesn't abstain)."""
+        return (1 - self.prior) * self.seen[:, BAD, BAD] + self.prior * self.seen[:, GOOD, GOOD]
 
-def fit_labels(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> LabelModel:
-    """EM over the counted vote patterns, from labellers that are right nine times in ten."""
+
+def fit_labels(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, false_alarms: float = FALSE_ALARMS) -> LabelModel:
+    """EM over the counted vote patterns, from labellers that see a third of the bad documents."""
     n = patterns.shape[1]
-    m = LabelModel(0.8, np.array([[[0.9, 0.1], [0.1, 0.9]]] * n))
-    for _ in range(rounds):
+    f = min(0.001, false_alarms)
+    m = LabelModel(0.85, np.array([[[0.3, 0.7], [f, 1 - f]]] * n))
+    for _ in range(rounds if len(counts) else 0):
         p = m.posterior(patterns)
         w = np.stack([(1 - p) * counts, p * counts], 1)
-        prior = float(np.clip(w[:, 1].sum() / max(1e-9, w.sum()), 0.02, 0.98)) if len(counts) else m.prior
+        prior = float(np.clip(w[:, 1].sum() / w.sum(), 0.02, 0.98))
         seen = np.empty_like(m.seen)
         for k in range(n):
-            for y in (0, 1):
-                said = [w[patterns[:, k] == v, y].sum() for v in (BAD, GOOD)]
-                right = (said[y] + 9.0) / (sum(said) + 10.0)
-                right = min(max(right, 0.55), 0.999)  # each labeller beats chance: this tells the classes apart
-                seen[k, y, y], seen[k, y, 1 - y] = right, 1 - right
+            bad, good = (w[patterns[:, k] == v].sum(0) for v in (BAD, GOOD))
+            rate = (bad + [0.1, 0.01]) / (bad + good + [1.0, 10.0])
+            rate[1] = min(rate[1], false_alarms)
+            seen[k, :, BAD], seen[k, :, GOOD] = rate, 1 - rate
         m = LabelModel(prior, seen)
     return m
 
@@ -126,7 +137,7 @@ class Scorer:
             idx, keys, at = _features(values[i:j])
             n = np.diff(at)
             sums = np.concatenate([[0.0], np.cumsum(self.weights[idx].sum(1))])
-            z = self.bias + (sums[at[1:]] - sums[at[:-1]]) / np.maximum(1, n)
+            z = self.bias + (sums[at[1:]] - sums[at[:-1]]) / (DAMP + n)
             if len(self.lexicon):
                 place = np.minimum(np.searchsorted(self.lexicon, keys), len(self.lexicon) - 1)
                 hit = np.concatenate([[0], np.cumsum((self.lexicon[place] == keys).any(1))])
@@ -158,22 +169,30 @@ def _sample(docs: DataFrame, most: int, total: int) -> DataFrame:
     return docs.filter(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30)) < int(rate * (1 << 30)))
 
 
-def _fit(sample: DataFrame, labels: LabelModel, rounds: int = 150, rate: float = 8.0) -> tuple[np.ndarray, float]:
+def example_rows(values: list[bytes], labels: LabelModel) -> list[tuple[float, bytes, bytes]]:
+    """Posterior, and feature numbers with their means, of each text."""
+    y = labels.posterior(np.array([votes(v) for v in values], np.int64).reshape(-1, len(LABELLERS)))
+    idx, _, at = _features(values)
+    rows = []
+    for k in range(len(values)):
+        u, c = np.unique(idx[at[k] : at[k + 1]], return_counts=True)
+        rows.append((float(y[k]), u.astype("<i4").tobytes(), (c / (DAMP + at[k + 1] - at[k])).astype("<f4").tobytes()))
+    return rows
+
+
+def _fit(sample: DataFrame, labels: LabelModel, rounds: int = 150, rate: float = 60.0) -> tuple[np.ndarray, float]:
     """Logistic regression of the posteriors on the sample's mean hashed features."""
 
     def go(batches):
         for b in batches:
-            values = [v for v in utf8(b["text"])]
-            y = labels.posterior(np.array([votes(v) for v in values], np.int64).reshape(-1, len(LABELLERS)))
-            idx, _, at = _features(values)
-            rows = []
-            for k in range(len(values)):
-                u, c = np.unique(idx[at[k] : at[k + 1]], return_counts=True)
-                rows.append((float(y[k]), u.astype("<i4").tobytes(), (c / max(1, at[k + 1] - at[k])).astype("<f4").tobytes()))
+            rows = example_rows(utf8(b["text"]), labels)
             cols = list(zip(*rows)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.float64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["y", "i", "x"])
 
-    rows = sorted(((r["y"], bytes(r["i"]), bytes(r["x"])) for r in sample.select("text").mapInArrow(go, "y double, i binary, x binary").toLocalIterator()))
+    return fit_rows(sorted((r["y"], bytes(r["i"]), bytes(r["x"])) for r in sample.select("text").mapInArrow(go, "y double, i binary, x binary").toLocalIterator()), rounds, rate)
+
+
+def fit_rows(rows: list[tuple[float, bytes, bytes]], rounds: int, rate: float) -> tuple[np.ndarray, float]:
     w, bias = np.zeros(N_WEIGHTS), 0.0
     if not rows:
         return w, bias
@@ -184,8 +203,8 @@ def _fit(sample: DataFrame, labels: LabelModel, rounds: int = 150, rate: float =
     for _ in range(rounds):
         z = bias + np.bincount(doc, w[idx] * x, len(rows))
         g = (1 / (1 + np.exp(-z)) - y) / len(rows)
-        w -= rate * 10 * (np.bincount(idx, g[doc] * x, N_WEIGHTS) + 1e-6 * w)
-        bias -= rate * 0.1 * g.sum()
+        w -= rate * (np.bincount(idx, g[doc] * x, N_WEIGHTS) + 1e-5 * w)
+        bias -= 0.02 * rate * g.sum()
     return w, float(bias)
 
 

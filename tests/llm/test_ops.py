@@ -270,8 +270,8 @@ def test_label_model_finds_accuracies():
     right = [0.95, 0.9, 0.7, 0.85, 0.6, 0.8, 0.75]
     votes = np.stack([np.where(r.random(4000) < 0.3, 2, np.where(r.random(4000) < a, y, ~y)) for a in right], 1).astype(int)
     p, c = np.unique(votes, axis=0, return_counts=True)
-    m = quality.fit_labels(p, c.astype(float))
-    assert np.abs(m.seen[:, 1, 1] - right).max() < 0.06 and abs(m.prior - 0.8) < 0.05
+    m = quality.fit_labels(p, c.astype(float), false_alarms=0.5)
+    assert np.abs(m.accuracy() - right).max() < 0.06 and abs(m.prior - 0.8) < 0.05
     assert ((m.posterior(votes) > 0.5) == y).mean() > 0.93
 
 
