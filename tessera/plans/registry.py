@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import base, scanning  # noqa: F401
+from . import base, scanning, tools  # noqa: F401
 
 QUERIES = base.QUERIES
 SQL = base.SQL
