@@ -189,7 +189,7 @@ def _fit(sample: DataFrame, labels: LabelModel, rounds: int = 150, rate: float =
             cols = list(zip(*rows)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.float64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["y", "i", "x"])
 
-    return fit_rows(sorted((r["y"], bytes(r["i"]), bytes(r["x"])) for r in sample.select("text").mapInArrow(go, "y double, i binary, x binary").toLocalIterator()), rounds, rate)
+    return fit_rows(sorted((r["y"], bytes(r["i"]), bytes(r["x"])) for r in sample.select("text").mapInArrow(go, "y double, i binary, x binary").collect()), rounds, rate)
 
 
 def fit_rows(rows: list[tuple[float, bytes, bytes]], rounds: int, rate: float) -> tuple[np.ndarray, float]:

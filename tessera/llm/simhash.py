@@ -60,7 +60,8 @@ def links(fps: DataFrame, radius: int = 2, segments: int = 2) -> DataFrame:
     held = one.select("fp", F.posexplode(F.array(*cut)).alias("s", "v"))
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(width * ball)])
     asked = one.select(F.col("fp").alias("a"), F.posexplode(F.array(*cut)).alias("s", "v0")).select("a", "s", "v0", F.explode(flips).alias("x")).select("a", "s", F.col("v0").bitwiseXOR(F.col("x")).alias("v"))
-    near = asked.join(held.withColumnRenamed("fp", "b"), ["s", "v"]).filter(F.expr(f"a < b and bit_count(a ^ b) <= {radius}"))
+    # The planner takes the exploded sides for as small as what they are exploded from: without a hint it broadcasts them.
+    near = asked.hint("merge").join(held.withColumnRenamed("fp", "b").hint("merge"), ["s", "v"]).filter(F.expr(f"a < b and bit_count(a ^ b) <= {radius}"))
     return near.select("a", "b").distinct()
 
 
