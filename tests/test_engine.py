@@ -34,9 +34,10 @@ FIRES = {
 }
 
 
-def test_rules_fire_as_they_should(spark):
+@pytest.mark.parametrize("engine", ["automaton", "expressions"])
+def test_rules_fire_as_they_should(spark, engine):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(FIRES)], "entity_id long, content string")
-    got = {r["entity_id"]: r["rules"] for r in scan.matched_rules(df).collect()}
+    got = {r["entity_id"]: r["rules"] for r in scan.matched_rules(df, engine).collect()}
     assert got == {i: v for i, v in enumerate(FIRES.values())}
 
 
