@@ -81,27 +81,6 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, segments
     return rows.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = 2, shingle: int = 5, segments: int = 2) -> DataFrame:
-    """The rows of docs, unchanged, one of each group of near-duplicates: that of the least doc_id (a missing one is least), of equals the first read.
-
-    docs must be read alike each time, as a stored table is: its rows are numbered by their place.
-    """
-    small_batches(docs.sparkSession)
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-
-    def go(batches):
-        for b in batches:
-            fps = np.array([fingerprint(x, shingle) for x in utf8(b["text"])], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b["_row"], b["doc_id"], pa.array(fps)], ["_row", "doc_id", "fp"])
-
-    rows = stored(numbered.select("_row", "doc_id", "text").mapInArrow(go, "_row long, doc_id long, fp long"), "fingerprints")
-    reps = rows.groupBy("fp").agg(F.min(F.struct("doc_id", "_row")).alias("rep"))
-    roots = components(links(reps, radius, segments), "simhash")
-    of = reps.join(roots, reps.fp == roots.node, "left").select(F.coalesce("root", "fp").alias("root"), "rep")
-    chosen = stored(of.groupBy("root").agg(F.min("rep").alias("rep")).select(F.col("rep._row").alias("_row")), "kept")
-    return numbered.join(chosen, "_row", "left_semi").select(docs.columns)
-
-
 def op8(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
