@@ -221,3 +221,15 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_wind
 
 def op2(spark, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+SQL2 = r"""
+with d as (select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+i as (select coalesce(item_id::varchar, '') as item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark where text is not null),
+iw as (select distinct item_id, k, w[p : p + k - 1] as win from (select *, least(13, len(w)) as k, unnest(range(1, len(w) - least(13, len(w)) + 2)) as p from i where len(w) > 0)),
+dw as (select rid, k, p, w[p : p + k - 1] as win from (select d.*, ks.k, unnest(range(1, len(w) - ks.k + 2)) as p from d, (select distinct k from iw) ks where len(w) >= ks.k)),
+h as (select rid, dw.k, p, item_id from dw join iw on dw.k = iw.k and dw.win = iw.win),
+hit as (select rid, count(distinct q) as n_hit from (select rid, unnest(range(p, p + k)) as q from (select distinct rid, p, k from h)) group by 1),
+ids as (select rid, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct rid, item_id from h) group by 1)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated from d left join hit using (rid) left join ids using (rid)"""

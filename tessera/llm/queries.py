@@ -18,6 +18,8 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op2_benchmark_decontamination": decontaminate.SQL2,
+    "op3_substring_dedup": substring.SQL3,
     "op5_chat_formatting": chat.SQL5,
     "op10_url_filters": urls.SQL10,
 }

@@ -133,3 +133,13 @@ def cut_text(text: str, spans: list[tuple[int, int]]) -> str:
 
 def op3(spark, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
+
+
+SQL3 = r"""
+with d as (select row_number() over () as rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as (select rid, doc_id, p, w[p : p + 12] as k from (select *, unnest(range(1, len(w) - 11)) as p from d where len(w) >= 13 and doc_id is not null)),
+least_of as (select k, min(doc_id) as m from win group by k),
+gone as (select distinct rid, unnest(range(p, p + 13)) as p from (select rid, p from win join least_of using (k) where m < doc_id)),
+left_over as (select rid, string_agg(x, ' ' order by p) as kept from (select rid, unnest(w) as x, unnest(range(1, len(w) + 1)) as p from d) t where not exists (select 1 from gone g where g.rid = t.rid and g.p = t.p) group by rid)
+select doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join left_over using (rid) left join (select rid, count(*) as n from gone group by rid) g using (rid)"""

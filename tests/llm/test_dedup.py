@@ -170,3 +170,9 @@ def test_components_long_path(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (5, 5), (None, 3)] + [(200, i) for i in range(201, 260)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100} | {i: 200 for i in range(200, 260)}
+
+
+def test_substring_sql(spark, sf):
+    from tests.llm.test_ops import against_sql
+
+    against_sql(spark, sf, substring.op3, substring.SQL3, ["documents"])

@@ -84,6 +84,10 @@ def test_clean_leaves_no_passage(spark, most):
             assert len(decontaminate.words(t.encode())) >= report[d][1] - report[d][2] - 1
 
 
+def test_decontamination_sql(spark, sf):
+    against_sql(spark, sf, decontaminate.op2, decontaminate.SQL2, ["documents", "benchmark"])
+
+
 # personal data
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
