@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from .common import small_batches, table, texts
 
 KINDS = ("email", "ip", "card", "phone")
-TRIGGER = re.compile("[0-9@]")
+#: Every kind that _plausible accepts has one of these.
+TRIGGER = re.compile(r"[0-9@]|[\[(](?:at|dot)[\])]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -270,12 +271,25 @@ def trained(n: int = 1500, steps: int = 260, batch: int = 32, rate: float = 0.02
 
 
 def _stretches(text: str) -> list[tuple[int, int]]:
-    """Where personal data can be: AROUND characters about each digit and at sign."""
+    """Where personal data can be: AROUND characters about each digit, at sign and spelt-out "at" or "dot", and about these the whole names next to them."""
     out: list[list[int]] = []
     for m in TRIGGER.finditer(text):
         s, e = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
+        if not m[0].isdigit():
+            a, b = m.span()
+            while a and text[a - 1].isspace():
+                a -= 1
+            while a and text[a - 1] in LOCAL:
+                a -= 1
+            while b < len(text) and text[b].isspace():
+                b += 1
+            while b < len(text) and text[b] in LOCAL:
+                b += 1
+            s, e = min(s, a), max(e, b)
+        while out and s <= out[-1][0]:
+            s, e = min(s, out[-1][0]), max(e, out.pop()[1])
         if out and s <= out[-1][1]:
-            out[-1][1] = e
+            out[-1][1] = max(e, out[-1][1])
         else:
             out.append([s, e])
     return [(s, e) for s, e in out]
@@ -360,8 +374,8 @@ SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_
 def find(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
     """SCHEMA for each row: counts and digest of the base spans, and all spans in order of kind and start.
 
-    A null or empty text has none; repeated rows come back as often; a row without doc_id is searched like any other. Windows are decoded only about digits
-    and at signs, one of which every kind has; elsewhere there is nothing to tag. Nothing is shuffled.
+    A null or empty text has none; repeated rows come back as often; a row without doc_id is searched like any other. Windows are decoded only about digits,
+    at signs and spelt-out ones (TRIGGER), one of which every accepted form has. Nothing is shuffled.
     """
     small_batches(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(model or trained())

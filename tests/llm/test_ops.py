@@ -149,6 +149,19 @@ def test_windows_are_reconciled(tagger):
     assert base == [] and {text[s:e] for _, s, e in added} <= {"(988) 555-2485", "(123) 456-7890"} and added
 
 
+@pytest.mark.parametrize("address", ["ana (at) host.com", "ana [at] host [dot] com", "maria.lopes (at) vento.net"])
+def test_pii_disguised_address_far_from_digits(tagger, address):
+    pad = "lorem ipsum dolor sit amet " * 40
+    (base, added), *_ = pii.find_all(tagger, [pad + address + " " + pad])
+    assert (base, added) == ([], [(0, len(pad), len(pad) + len(address))])
+
+
+def test_pii_stretches_hold_whole_names():
+    name = "a" * 300
+    text = f"x 1 {'lorem ' * 50}{name} [at] {name} [dot] com {'ipsum ' * 50}"
+    assert any(s <= text.index(name) and e >= text.index(" ipsum") for s, e in pii._stretches(text))
+
+
 def test_pii_rows(spark, tagger):
     rows = awkward() + [(20, "é mail a.b@c.de, +1 (988) 555-2485 4111 1111 1111 1111 1.2.3.4", "en", "s", 1)]
     got = {(r["doc_id"], r["n_email"], r["n_ip"], r["n_card"], r["n_phone"], r["base_sha256"]) for r in pii.find(frame(spark, rows), tagger).collect()}
