@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import deque
+from collections import defaultdict, deque
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +22,8 @@ QUANTUM = 512
 BUFFER = 1 << 20
 #: Sources with a queue of their own; the rest share one.
 MOST_SOURCES = 10_000
-#: Rows (partition, source) of carried deficits that go to the tasks; with more, each partition starts with none.
-MOST_CARRIED = 200_000
+#: Bytes of text, about, that a task packs.
+TASK_BYTES = 16 << 20
 #: Entries of a worker's memory of chunks and words.
 MOST_CHUNKS = 1_000_000
 
@@ -164,17 +165,20 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 
 
+DEALT = "task int, turn long, doc_id long, source string, ids binary"
+
+
 def _bytes_by(docs: DataFrame) -> DataFrame:
-    return docs.select(F.spark_partition_id().alias("part"), F.coalesce("source", F.lit("")).alias("source"), (F.octet_length(F.coalesce("text", F.lit(""))) + 1).alias("n")).groupBy("part", "source").agg(F.sum("n").alias("n"))
+    return docs.select(F.coalesce("source", F.lit("")).alias("source"), (F.octet_length(F.coalesce("text", F.lit(""))) + 1).alias("n")).groupBy("source").agg(F.sum("n").alias("n"))
 
 
 def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, quantum: int = QUANTUM, buffer: int = BUFFER) -> DataFrame:
     """SCHEMA for each piece of each document (doc_id, source, text).
 
-    Target proportions are the sources' shares of all texts' bytes. Each partition of the input packs its own rows in one pass, without a shuffle, and with
-    bounded queues; it starts with the deficits that the partitions before it leave, which follow from bytes alone. Full sequences have `length` tokens, and a
-    partition's rest goes into sequences of powers of two, so nothing is padded. A null text is empty, and any document ends with id 2, so none lacks a
-    piece; a null source is a source; rows that repeat come back as often.
+    Target proportions are the sources' shares of all texts' bytes. Each partition of the input tokenises its rows and deals those of each source in turn to
+    the packing tasks, of TASK_BYTES each, which take them in a scattered order: so every task has all sources at any time, however the input is ordered. Its
+    queues are bounded. Full sequences have `length` tokens, and a task's rest goes into sequences of powers of two, so nothing is padded. A null text is
+    empty, and any document ends with id 2, so none lacks a piece; a null source is a source; rows that repeat come back as often.
     """
     small_batches(docs.sparkSession, 1000)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
@@ -185,25 +189,31 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, quantum: int = Q
         top[None] = rest
     everything = sum(top.values()) or 1
     shares = {s: n / everything for s, n in top.items()}
-    starts: dict[int, dict] = {}
-    rows = by.limit(MOST_CARRIED + 1).collect()
-    if len(rows) <= MOST_CARRIED:
-        parts: dict[int, dict] = {}
-        for r in rows:
-            s = r["source"] if r["source"] in shares else None
-            parts.setdefault(r["part"], {})[s] = parts.get(r["part"], {}).get(s, 0) + r["n"]
-        due = dict.fromkeys(shares, 0.0)
-        for p in sorted(parts):
-            starts[p] = dict(due)
-            size = sum(parts[p].values())
-            due = {s: d + (shares[s] * size - parts[p].get(s, 0)) / 3 for s, d in due.items()}  # about three bytes a token
-    known = docs.sparkSession.sparkContext.broadcast((shares, starts))
+    tasks = -(-everything // TASK_BYTES)
+    known = docs.sparkSession.sparkContext.broadcast(shares)
+
+    def deal(batches):
+        shares, part, row = known.value, TaskContext.get().partitionId(), 0
+        of = tokens(tokenizer).ids
+        dealt: dict = defaultdict(int)
+        for b in batches:
+            turns, to, sources, ids = [], [], [], []
+            for source, text in zip(b["source"].to_pylist(), b["text"].to_pylist()):
+                source = source or ""
+                own = source if source in shares else None
+                if own not in dealt:
+                    dealt[own] = xxhash.xxh3_64_intdigest(f"{part} {own}")
+                to.append(dealt[own] % tasks)
+                dealt[own] += 1
+                turns.append(xxhash.xxh3_64_intdigest(f"{part} {row}") >> 1)
+                row += 1
+                sources.append(source)
+                ids.append(of(text or "").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(turns, pa.int64()), b["doc_id"], pa.array(sources, pa.string()), pa.array(ids, pa.binary())], ["task", "turn", "doc_id", "source", "ids"])
 
     def go(batches):
-        shares, starts = known.value
-        part = TaskContext.get().partitionId()
-        packer = Packer(shares, starts.get(part, {}), part << 36, length, quantum)
-        ids = tokens(tokenizer).ids
+        shares = known.value
+        packer = Packer(shares, {}, TaskContext.get().partitionId() << 36, length, quantum)
 
         def out():
             cols = list(zip(*packer.rows))
@@ -211,9 +221,8 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, quantum: int = Q
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], NAMES)
 
         for b in batches:
-            for doc_id, source, text in zip(b["doc_id"].to_pylist(), b["source"].to_pylist(), b["text"].to_pylist()):
-                source = source or ""
-                packer.put(source if source in shares else None, doc_id, ids(text or ""))
+            for doc_id, source, ids in zip(b["doc_id"].to_pylist(), b["source"].to_pylist(), b["ids"].to_pylist()):
+                packer.put(source if source in shares else None, doc_id, np.frombuffer(ids, "<u2"))
                 if packer.total >= 2 * buffer:
                     packer.fill(buffer)
             if packer.rows:
@@ -222,7 +231,8 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, quantum: int = Q
         if packer.rows:
             yield out()
 
-    return docs.mapInArrow(go, SCHEMA)
+    dealt = docs.mapInArrow(deal, DEALT).repartitionById(tasks, "task").sortWithinPartitions("turn")
+    return dealt.select("doc_id", "source", "ids").mapInArrow(go, SCHEMA)
 
 
 def default_tokenizer() -> str:

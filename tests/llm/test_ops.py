@@ -354,6 +354,25 @@ def test_packing(spark, rows):
     check_packing(rows, out.collect())
 
 
+@pytest.mark.parametrize("by_source", [True, False])
+def test_packing_mixes_sources_however_the_input_is_ordered(spark, by_source):
+    r = random.Random(4)
+    share = {"a": 0.4, "b": 0.3, "c": 0.2, "d": 0.1}
+    rows = [(0, prose(r, 60), "en", s, 1) for s, p in share.items() for _ in range(int(p * 5000))]
+    if not by_source:
+        r.shuffle(rows)
+    rows = [(i, *x[1:]) for i, x in enumerate(rows)]
+    of = {d: s for d, _, _, s, _ in rows}
+    out = packing.pack(spark.createDataFrame(spark.sparkContext.parallelize(rows, 6), SCHEMA), packing.default_tokenizer(), buffer=100_000).collect()
+    seqs = defaultdict(lambda: defaultdict(int))
+    for x in out:
+        seqs[x["sequence_id"]][of[x["doc_id"]]] += x["length"]
+    full = [x for x in seqs.values() if sum(x.values()) == 4096]
+    assert len(full) > 100
+    held = [x for x in full if all(abs(x[s] / 4096 - p) < 0.15 for s, p in share.items())]
+    assert len(held) >= 0.9 * len(full), (len(held), len(full))
+
+
 def test_mixture_is_held():
     p = packing.Packer({"a": 0.5, "b": 0.3, "c": 0.2}, {}, 0)
     for i in range(200):
