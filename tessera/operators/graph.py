@@ -2,27 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-def scratch(spark: SparkSession) -> str:
-    """A path in the cluster's shared folder; a session without one gets a folder of its own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tessera-graph-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
-
-
-def _stored(df: DataFrame) -> DataFrame:
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from .tables import stored
 
 
 def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
@@ -30,14 +14,14 @@ def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
 
     Semi-naive: each round joins only the pairs that the last one found, and leaves out those known. Rounds are tables, so lost executors cost no history.
     """
-    edges = _stored(edges.select("caller", "callee").distinct())
-    seen = delta = _stored(starts.select("start", F.col("start").alias("node")).distinct())
+    edges = stored(edges.select("caller", "callee").distinct(), "edges")
+    seen = delta = stored(starts.select("start", F.col("start").alias("node")).distinct(), "reached")
     while True:
         new = delta.join(edges, delta.node == edges.caller).select("start", F.col("callee").alias("node")).distinct()
-        delta = _stored(new.join(seen, ["start", "node"], "left_anti"))
+        delta = stored(new.join(seen, ["start", "node"], "left_anti"), "delta")
         if delta.isEmpty():
             return seen
-        seen = _stored(seen.unionByName(delta))
+        seen = stored(seen.unionByName(delta), "reached")
 
 
 def resolve_calls(calls: DataFrame, functions: DataFrame, imports: DataFrame) -> DataFrame:
