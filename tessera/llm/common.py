@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -13,30 +11,23 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.tables import discard, purge, scratch, stored  # noqa: F401 - for the operators here
+
 NULL_ID = -(2**63)
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder that the cluster names; only a session that names none (tests) gets a folder of its own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: its lineage ends there, and lost executors lose nothing."""
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", "snappy").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Bytes of an Arrow batch from which on no further row joins it.
+BATCH_BYTES = 32 << 20
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bounds the Arrow batches that hold whole texts."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+    """Bounds the Arrow batches that hold whole texts, by rows and by bytes; a longer text is a batch of its own. The session's own limits stay if smaller."""
+    rest = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if rest <= 0 or rest > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -130,44 +121,49 @@ def joined(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tag(text: bytes) -> int:
-    """24 bits; with doc_id they tell rows apart that repeat an id with another text."""
-    return xxhash.xxh3_64_intdigest(text) >> 40
+    """64 bits of the text; with doc_id they tell rows apart that repeat an id, or have none, with another text."""
+    return xxhash.xxh3_64_intdigest(text) - 2**63
 
 
-def place(t: np.ndarray, start: np.ndarray, n: np.ndarray, copy: np.ndarray) -> np.ndarray:
-    """A text's tag (24 bits), a start in it (31), how many windows (8) and whether it copies a segment at hand (1), as one long."""
-    return ((t.astype(np.uint64) << np.uint64(40)) | (start.astype(np.uint64) << np.uint64(9)) | (n.astype(np.uint64) << np.uint64(1)) | copy.astype(np.uint64)).view(np.int64)
+def place(start: np.ndarray, n: np.ndarray, hot=0, copy=0) -> np.ndarray:
+    """A start in a text (31 bits), how many windows start from there on (8), and two flags, as one long; place >> 2 is a span, without the flags."""
+    return (start.astype(np.int64) << 10) | (n.astype(np.int64) << 2) | (hot << 1) | copy
 
 
-def placed(x: int) -> tuple[int, int, int, int]:
-    """t, start, n and copy of a place."""
-    return (x >> 40) & 0xFFFFFF, (x >> 9) & 0x7FFFFFFF, (x >> 1) & 0xFF, x & 1
+def span(x: int) -> tuple[int, int]:
+    """start and n of a span."""
+    return x >> 8, x & 0xFF
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """doc_id, d, t (see tag), n (bytes) and z, the text compressed for the shuffle."""
+def packed(docs: DataFrame, least: int = 0) -> DataFrame:
+    """doc_id, d, t (see tag), full and z, the text compressed for the shuffle. Texts under `least` bytes can't have spans: they aren't full, and their t only
+    spreads them, so that a great many empty texts aren't one key."""
 
     def go(batches):
-        c = zstandard.ZstdCompressor(level=1)
+        c, row = zstandard.ZstdCompressor(level=1), 0
         for b in batches:
             values = utf8(b["text"])
             ids = b["doc_id"]
-            yield pa.RecordBatch.from_arrays([ids, ids.fill_null(NULL_ID), pa.array(list(map(tag, values)), pa.int64()), pa.array(list(map(c.compress, values)), pa.binary())], ["doc_id", "d", "t", "z"])
+            full = [len(x) >= least for x in values]
+            ts = [tag(x) if f else (row + i) * 0x9E3779B97F4A7C15 % 2**64 - 2**63 for i, (x, f) in enumerate(zip(values, full))]
+            row += len(values)
+            yield pa.RecordBatch.from_arrays([ids, ids.fill_null(NULL_ID), pa.array(ts, pa.int64()), pa.array(full, pa.bool_()), pa.array(list(map(c.compress, values)), pa.binary())], ["doc_id", "d", "t", "full", "z"])
 
-    return docs.mapInArrow(go, "doc_id long, d long, t long, z binary")
+    return docs.mapInArrow(go, "doc_id long, d long, t long, full boolean, z binary")
 
 
-def with_spans(docs: DataFrame, spans: DataFrame, finish, schema: str) -> DataFrame:
-    """finish(doc_id, text, [(start, n)...]) -> row, for each document with the spans (d, t, start, n) found in it."""
-    per = spans.groupBy("d", "t").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns"))
-    both = packed(docs).join(per, ["d", "t"], "left").select("doc_id", "z", "starts", "ns")
+def with_spans(docs: DataFrame, spans: DataFrame, finish, schema: str, least: int = 0) -> DataFrame:
+    """finish(doc_id, text, [(start, n)...]) -> row, for each document with the spans (d, t, span) found in it. Rows that repeat a document find its spans
+    again, which are gathered as a set: no larger than one document's, however many copies there are."""
+    per = spans.groupBy("d", "t").agg(F.collect_set("span").alias("spans")).withColumn("full", F.lit(True))
+    both = packed(docs, least).join(per, ["d", "t", "full"], "left").select("doc_id", "z", "spans")
 
     def go(batches):
         d = zstandard.ZstdDecompressor()
         for b in batches:
             rows = []
-            for doc_id, z, s, n in zip(b["doc_id"].to_pylist(), b["z"].to_pylist(), b["starts"].to_pylist(), b["ns"].to_pylist()):
-                rows.append(finish(doc_id, d.decompress(z), sorted(zip(s, n)) if s else []))
+            for doc_id, z, s in zip(b["doc_id"].to_pylist(), b["z"].to_pylist(), b["spans"].to_pylist()):
+                rows.append(finish(doc_id, d.decompress(z), list(map(span, sorted(s))) if s else []))
             yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=arrow)
 
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .common import BYTE1, BYTE2, NULL_ID, ONE, TWO, chunks, joined, mix, place, tag, utf8, word_bounds, word_hashes
 
 BLOCK_BITS = 16
+#: A core counted so often, or four times as often as the mean counter says where that is more, is hot: its segments are spread by themselves.
+HOT = 20_000
 
 
 @dataclass(frozen=True)
@@ -60,8 +62,7 @@ def segments(values: list[bytes], shape: Shape) -> Segments:
     ONE.grow(n + 1), TWO.grow(n + 1)
     grams = n - gram + 1
     core = mix((sums1[gram:] - sums1[:grams]) * ONE.down[:grams])
-    place_bits = max(18, int(grams).bit_length())
-    low = np.uint64((1 << place_bits) - 1)
+    low = np.uint64(2**32 - 1)  # the same 32 bits of the hash decide in texts of any length; of equals the leftmost is least
     key = (core & ~low) | np.arange(grams, dtype=np.uint64)
     span = length - gram + 1
     have, least = 1, key
@@ -112,8 +113,29 @@ def sketch_bits(docs: DataFrame, most: int = 26) -> int:
     return min(most, max(BLOCK_BITS, int(size // 16).bit_length()))
 
 
-def repeated(docs: DataFrame, shape: Shape, bits: int, flush: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """Bitmaps of the two rows' counters that reach 2, of at most 2**26 bits (8 MB) each.
+@dataclass
+class Sketch:
+    """What is known of cores after the first pass: bitmaps of both rows' counters that reach 2, and of those that are hot; of at most 2**26 bits (8 MB) each."""
+
+    bits: int
+    twice: list[np.ndarray]
+    hot: list[np.ndarray]
+
+    def _in(self, maps: list[np.ndarray], core: np.ndarray) -> np.ndarray:
+        keep = np.ones(len(core), bool)
+        for row, s in zip(maps, slots(core, self.bits)):
+            keep &= (row[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1 == 1
+        return keep
+
+    def passes(self, core: np.ndarray) -> np.ndarray:
+        return self._in(self.twice, core)
+
+    def is_hot(self, core: np.ndarray) -> np.ndarray:
+        return self._in(self.hot, core)
+
+
+def repeated(docs: DataFrame, shape: Shape, bits: int, flush: int = 1 << 20, hot: int = HOT) -> Sketch:
+    """The count-min sketch of the cores of all texts.
 
     Each task counts the cores of its texts in its own sketch and hands it on by blocks of 2**16 counters, as 2 bytes for each counted core; one task a block
     adds them up. A core's estimate, the lesser of its two counters, never falls below its count, so no repeated window is lost.
@@ -146,7 +168,8 @@ def repeated(docs: DataFrame, shape: Shape, bits: int, flush: int = 1 << 20) ->
         now, counter = None, None
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(counter >= 2).tobytes()], pa.binary())], ["block", "twice"])
+            often = counter >= max(hot, 4 * counter.mean())
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(counter >= 2).tobytes()], pa.binary()), pa.array([np.packbits(often).tobytes() if often.any() else None], pa.binary())], ["block", "twice", "hot"])
 
         for b in batches:
             for block, counted in zip(b["block"].to_pylist(), b["counted"].to_pylist()):
@@ -159,28 +182,27 @@ def repeated(docs: DataFrame, shape: Shape, bits: int, flush: int = 1 << 20) ->
             yield out()
 
     parts = docs.mapInArrow(count, "block int, counted binary")
-    merged = parts.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, twice binary")
-    rows = np.zeros((2 * blocks, (1 << BLOCK_BITS) // 8), np.uint8)
-    for r in merged.collect():  # at most 2**11 blocks of 8 KB, whatever the corpus
-        rows[r["block"]] = np.frombuffer(r["twice"], np.uint8)
-    return rows[:blocks].reshape(-1), rows[blocks:].reshape(-1)
+    merged = parts.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, twice binary, hot binary")
+    maps = {k: np.zeros((2 * blocks, (1 << BLOCK_BITS) // 8), np.uint8) for k in ("twice", "hot")}
+    for r in merged.collect():  # at most 2**11 blocks of twice 8 KB, whatever the corpus
+        for k, m in maps.items():
+            if r[k] is not None:
+                m[r["block"]] = np.frombuffer(r[k], np.uint8)
+    return Sketch(bits, *([m[:blocks].reshape(-1), m[blocks:].reshape(-1)] for m in maps.values()))
 
 
-def passes(core: np.ndarray, bits: int, twice: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    keep = np.ones(len(core), bool)
-    for row, s in zip(twice, slots(core, bits)):
-        keep &= (row[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1 == 1
-    return keep
+#: Where a row of repeated_segments goes: to its core; if that is hot, to its segment; what needs no comparison anywhere.
+ROUTE = "case when core is null then t when place & 2 = 2 then xxhash64(core, seg) else core end"
 
 
-def repeated_segments(docs: DataFrame, shape: Shape, null_ids: bool) -> DataFrame:
-    """The segments whose core the prefilter can't rule out: core, seg, d and their place (see common.place); null_ids: whether rows without doc_id count.
+def repeated_segments(docs: DataFrame, shape: Shape, sketch: Sketch | None) -> DataFrame:
+    """The segments whose core the prefilter can't rule out, or all without a sketch: core, seg, d, t and their place (see common.place).
 
-    Equal segments of one batch are compared before the shuffle: all but the first, in the order of d, say that they are copies, and need no more comparison.
-    With words, those that have the first one's d don't.
+    Equal segments of one batch are compared before the shuffle, and one row speaks for them: for bytes its copy flag says that there are more, and the others
+    come out without core and seg, as copies that need no comparison. With words that is so for those of a larger d than the first. A hot core's segments are
+    flagged: they count as differing from others of the core.
     """
-    bits = sketch_bits(docs)
-    twice = docs.sparkSession.sparkContext.broadcast(repeated(docs, shape, bits))
+    known = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def go(batches):
         for b in batches:
@@ -189,9 +211,7 @@ def repeated_segments(docs: DataFrame, shape: Shape, null_ids: bool) -> DataFram
             held: list[tuple] = []
             for i, j in chunks(values):
                 s = segments(values[i:j], shape)
-                keep = passes(s.core, bits, twice.value)
-                if not null_ids:
-                    keep &= ids[i:j][s.doc] != NULL_ID
+                keep = known.value.passes(s.core) if known.value else np.ones(len(s.core), bool)
                 if keep.any():
                     held.append((s.core[keep], s.seg[keep], s.doc[keep] + i, s.start[keep], s.n[keep]))
             if not held:
@@ -204,9 +224,12 @@ def repeated_segments(docs: DataFrame, shape: Shape, null_ids: bool) -> DataFram
             order = np.lexsort((start, t, d, seg, core))
             core, seg, d, t, start, n = (x[order] for x in (core, seg, d, t, start, n))
             first = np.r_[True, (core[1:] != core[:-1]) | (seg[1:] != seg[:-1])]
-            copy = ~first
             if shape.words:
-                copy &= d != d[np.maximum.accumulate(np.where(first, np.arange(len(d)), 0))]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, (core, seg, d, place(t, start, n, copy)))], ["core", "seg", "d", "place"])
-
-    return docs.mapInArrow(go, "core long, seg long, d long, place long")
+                copy = ~first & (d != d[np.maximum.accumulate(np.where(first, np.arange(len(d)), 0))])
+                more = np.zeros(len(d), np.int64)
+            else:
+                copy, more = ~first, (first & np.r_[~first[1:], False]).astype(np.int64)
+            hot = known.value.is_hot(core).astype(np.int64) if known.value else 0
+            yield pa.RecordBatch.from_arrays([pa.array(core, mask=copy), pa.array(seg, mask=copy), pa.array(d), pa.array(t), pa.array(place(start, n, hot, more))], ["core", "seg", "d", "t", "place"])
+
+    return docs.mapInArrow(go, "core long, seg long, d long, t long, place long")

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import regions, simhash, substring, suffix
-from tests.llm.cases import SCHEMA, awkward, corpus
+from tests.llm.cases import SCHEMA, awkward, corpus, prose
 
 
 def brute1(rows):
@@ -64,10 +64,44 @@ def test_suffix_dedup_is_exact(spark, seed):
     same(suffix.suffix_dedup(frame(spark, rows)), brute1(rows))
 
 
-def test_suffix_dedup_with_hot_cores(spark):
+@pytest.mark.parametrize("batch, hot", [(2, suffix.HOT), (3, 2), (512, 5)])
+def test_suffix_dedup_with_hot_cores(spark, batch, hot):
     rows = corpus(3)
-    same(suffix.suffix_dedup(frame(spark, rows), most_fragments=2, batch=2), brute1(rows))
-    same(suffix.suffix_dedup(frame(spark, rows), batch=2), brute1(rows))
+    same(suffix.suffix_dedup(frame(spark, rows), batch=batch, hot=hot), brute1(rows))
+
+
+def test_suffix_dedup_of_rows_without_id(spark):
+    """Many texts that have no id to tell them apart, half with one passage, which nothing else may lose."""
+    rng = random.Random(8)
+    passage = prose(rng, 60)[:420]
+    rows = [(None, f"{i} {passage if i % 2 else 'short'} {i * 7}", "en", "s", 1) for i in range(20_000)]
+    out = suffix.suffix_dedup(spark.createDataFrame(rows, SCHEMA).select("doc_id", "text"))
+    same(out, brute1(rows))
+
+
+def test_suffix_order():
+    rng = random.Random(2)
+    for length in (1, 5, 8, 13, 20):
+        frags = [bytes(rng.choice(b"\0ab") for _ in range(rng.randint(0, 40))) for _ in range(30)]
+        doc, start, rank = suffix.suffix_order(frags, length)
+        got = [frags[k][i : i + length] for k, i in zip(doc, start)]
+        assert got == sorted(f[i : i + length] for f in frags for i in range(len(f) - length + 1))
+        assert all((a == b) == (x == y) for a, b, x, y in zip(got, got[1:], rank, rank[1:]))
+
+
+def test_stored_levels_batch_by_batch(spark, tmp_path):
+    rows = corpus(5) + awkward()[4:]
+    folder = f"file://{tmp_path}/index"
+    index = suffix.SuffixIndex(spark, folder)
+    for i in range(0, len(rows), 12):
+        if i == 24:
+            index = suffix.SuffixIndex(spark, folder)  # opened again by its folder
+        index.add(frame(spark, rows[i : i + 12]))
+        sizes = [x["rows"] for x in index.levels]
+        assert all(2 * b <= a for a, b in zip(sizes, sizes[1:]))
+    docs = spark.createDataFrame(rows, SCHEMA).select("doc_id", "text")
+    same(suffix.with_spans(docs, index.spans(), suffix._finish, suffix.SCHEMA, suffix.LENGTH), brute1(rows))
+    assert suffix.SuffixIndex(spark, f"file://{tmp_path}/none").spans().count() == 0
 
 
 def test_suffix_dedup_awkward(spark):
@@ -103,6 +137,12 @@ def test_substring_dedup_with_one_batch_a_row(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
 
 
+@pytest.mark.parametrize("hot", [2, 20])
+def test_substring_dedup_with_hot_cores(spark, hot):
+    rows = corpus(6)
+    same(substring.substring_dedup(frame(spark, rows), hot=hot), brute3(rows))
+
+
 def test_substring_dedup_awkward(spark):
     same(substring.substring_dedup(frame(spark, awkward())), brute3(awkward()))
     assert substring.substring_dedup(frame(spark, [])).count() == 0
@@ -110,12 +150,21 @@ def test_substring_dedup_awkward(spark):
 
 def test_sketch_loses_no_repeat(spark):
     docs = spark.createDataFrame(corpus(4), SCHEMA).select("doc_id", "text")
-    twice = regions.repeated(docs, regions.WORDS, 16)
+    sketch = regions.repeated(docs, regions.WORDS, 16, hot=30)
     texts = [t.encode() for _, t, *_ in corpus(4)]
     cores = regions.segments(texts, regions.WORDS).core
     count = Counter(cores.tolist())
-    keep = regions.passes(cores, 16, twice)
+    keep, hot = sketch.passes(cores), sketch.is_hot(cores)
     assert all(k for c, k in zip(cores.tolist(), keep) if count[c] > 1) and not keep.all()
+    assert all(h for c, h in zip(cores.tolist(), hot) if count[c] >= 30) and hot.any() and not hot.all()
+
+
+def test_anchors_do_not_depend_on_the_text_around():
+    rng = random.Random(6)
+    short = prose(rng, 80).encode()
+    long = prose(rng, 40_000).encode() + b" " + short
+    one, two = (regions.segments([x], regions.BYTES) for x in (short, long))
+    assert set(one.core[1:-1].tolist()) <= set(two.core.tolist())
 
 
 def finger(text):
