@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, scratch
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -27,12 +27,20 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) for each end of edges (a, b); root is the least node of its component. Null ends and loops don't count.
 
-    Each round is a table in the shared folder; the rounds grow with the logarithm of the longest path.
+    Each round is a table in the shared folder, of which only the last stays; the rounds grow with the logarithm of the longest path.
     """
-    edges = stored(edges.filter("a is not null and b is not null and a != b").distinct(), name)
+    spark = edges.sparkSession
+
+    def kept(df: DataFrame) -> tuple[str, DataFrame]:
+        path = scratch(spark, name)
+        df.write.option("compression", "snappy").parquet(path)
+        return path, spark.read.schema(df.schema).parquet(path)
+
+    path, edges = kept(edges.filter("a is not null and b is not null and a != b").distinct())
     last = None
     while True:
-        edges = stored(_star(_star(edges, False), True), name)
+        old, (path, edges) = path, kept(_star(_star(edges, False), True))
+        discard(spark, old)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum(F.xxhash64("b", "a") % 1_000_033)).first()
         if now == last or not now[0]:
             break

@@ -111,49 +111,62 @@ class Tagger:
         for d in "fb":
             self.p["W" + d], self.p["c" + d] = g(embed + hidden, 4 * hidden), np.zeros(4 * hidden)
 
-    def _run(self, x: np.ndarray, d: str):
-        n, width, _ = x.shape
-        w, c, k = self.p["W" + d], self.p["c" + d], self.h
-        h = cell = np.zeros((n, k))
-        steps, hs = [], np.zeros((n, width, k))
-        for t in range(width) if d == "f" else range(width - 1, -1, -1):
-            z = np.concatenate([x[:, t], h], 1)
-            a = z @ w + c
-            s = 1 / (1 + np.exp(-a[:, : 3 * k]))
-            i, f, o, u = s[:, :k], s[:, k : 2 * k], s[:, 2 * k :], np.tanh(a[:, 3 * k :])
-            last, cell = cell, f * cell + i * u
+    def _run(self, e: np.ndarray):
+        """Both directions at once: hidden states (2, n, width, h), the second's in its own order of time, and what the way back needs."""
+        n, width, _ = e.shape
+        k = self.h
+        x = np.stack([e, e[:, ::-1]])
+        w, c = np.stack([self.p["Wf"], self.p["Wb"]]), np.stack([self.p["cf"], self.p["cb"]])[:, None]
+        given = x @ w[:, None, : x.shape[3]] + c[:, :, None]
+        back = w[:, x.shape[3] :]
+        h = cell = np.zeros((2, n, k))
+        steps, hs = [], np.zeros((2, n, width, k))
+        for t in range(width):
+            a = given[:, :, t] + h @ back
+            s = 1 / (1 + np.exp(-a[..., : 3 * k]))
+            i, f, o, u = s[..., :k], s[..., k : 2 * k], s[..., 2 * k :], np.tanh(a[..., 3 * k :])
+            last, before, cell = cell, h, f * cell + i * u
             th = np.tanh(cell)
             h = o * th
-            hs[:, t] = h
-            steps.append((t, z, i, f, o, u, last, th))
-        return hs, steps
-
-    def _back(self, d: str, steps, dh_all: np.ndarray, dx: np.ndarray, grad: dict) -> None:
-        w, k = self.p["W" + d], self.h
-        e = dx.shape[2]
-        dh = dc = np.zeros((len(dx), k))
-        for t, z, i, f, o, u, last, th in reversed(steps):
-            dh = dh + dh_all[:, t]
+            hs[:, :, t] = h
+            steps.append((before, i, f, o, u, last, th))
+        return hs, (x, w, steps)
+
+    def _back(self, kept, dh_all: np.ndarray, grad: dict) -> np.ndarray:
+        """Adds the weights' gradients; returns that of the embeddings."""
+        x, w, steps = kept
+        k, e = self.h, x.shape[3]
+        back = np.swapaxes(w[:, e:], 1, 2)
+        das = np.zeros((*x.shape[:3], 4 * k))
+        dh = dc = np.zeros((2, x.shape[1], k))
+        for t in range(len(steps) - 1, -1, -1):
+            _, i, f, o, u, last, th = steps[t]
+            dh = dh + dh_all[:, :, t]
             dc = dc + dh * o * (1 - th**2)
-            da = np.concatenate([dc * u * i * (1 - i), dc * last * f * (1 - f), dh * th * o * (1 - o), dc * i * (1 - u**2)], 1)
-            grad["W" + d] += z.T @ da
-            grad["c" + d] += da.sum(0)
-            dz = da @ w.T
-            dx[:, t] += dz[:, :e]
-            dh, dc = dz[:, e:], dc * f
+            das[:, :, t] = da = np.concatenate([dc * u * i * (1 - i), dc * last * f * (1 - f), dh * th * o * (1 - o), dc * i * (1 - u**2)], 2)
+            dh, dc = da @ back, dc * f
+        hidden = np.stack([s[0] for s in steps], 2)
+        dx = das @ np.swapaxes(w[:, None, :e], 2, 3)
+        for j, d in enumerate("fb"):
+            z, a = np.concatenate([x[j], hidden[j]], 2).reshape(-1, e + k), das[j].reshape(-1, 4 * k)
+            grad["W" + d] += z.T @ a
+            grad["c" + d] += a.sum(0)
+        return dx[0] + dx[1][:, ::-1]
+
+    @staticmethod
+    def _joint(hs: np.ndarray) -> np.ndarray:
+        return np.concatenate([hs[0], hs[1][:, ::-1]], 2)
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         """Emissions of windows (n, WIDTH) of classes."""
-        e = self.p["E"][x]
-        return np.concatenate([self._run(e, "f")[0], self._run(e, "b")[0]], 2) @ self.p["O"] + self.p["o"]
+        return self._joint(self._run(self.p["E"][x])[0]) @ self.p["O"] + self.p["o"]
 
     def step(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
         """Mean negative log-likelihood of tags y, and its gradient."""
         p, (n, width) = self.p, x.shape
         grad = {k: np.zeros_like(v) for k, v in p.items()}
-        e = p["E"][x]
-        (hf, sf), (hb, sb) = self._run(e, "f"), self._run(e, "b")
-        h = np.concatenate([hf, hb], 2)
+        hs, kept = self._run(p["E"][x])
+        h = self._joint(hs)
         em = h @ p["O"] + p["o"]
         lse = lambda a, axis: (m := a.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(a - m).sum(axis))
         alpha, beta = np.zeros_like(em), np.zeros_like(em)
@@ -163,24 +176,18 @@ class Tagger:
         for t in range(width - 2, -1, -1):
             beta[:, t] = lse(p["T"] + (em[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
         z = lse(alpha[:, -1], 1)
-        rows = np.arange(n)
         gold = p["S"][y[:, 0]] + np.take_along_axis(em, y[:, :, None], 2)[..., 0].sum(1) + p["T"][y[:, :-1], y[:, 1:]].sum(1)
         dem = np.exp(alpha + beta - z[:, None, None])
         grad["S"] += dem[:, 0].sum(0) / n
         np.add.at(grad["S"], y[:, 0], -1 / n)
-        for t in range(1, width):
-            grad["T"] += np.exp(alpha[:, t - 1, :, None] + p["T"] + (em[:, t] + beta[:, t])[:, None, :] - z[:, None, None]).sum(0) / n
+        grad["T"] += np.exp(alpha[:, :-1, :, None] + p["T"] + (em[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]).sum((0, 1)) / n
         np.add.at(grad["T"], (y[:, :-1], y[:, 1:]), -1 / n)
-        for t in range(width):
-            dem[rows, t, y[:, t]] -= 1
+        np.put_along_axis(dem, y[:, :, None], np.take_along_axis(dem, y[:, :, None], 2) - 1, 2)
         dem /= n
         grad["O"] += np.tensordot(h, dem, ([0, 1], [0, 1]))
         grad["o"] += dem.sum((0, 1))
         dh = dem @ p["O"].T
-        dx = np.zeros_like(e)
-        self._back("f", sf, dh[..., : self.h], dx, grad)
-        self._back("b", sb, dh[..., self.h :], dx, grad)
-        np.add.at(grad["E"], x, dx)
+        np.add.at(grad["E"], x, self._back(kept, np.stack([dh[..., : self.h], dh[:, ::-1, self.h :]]), grad))
         return float((z - gold).mean()), grad
 
     def decode(self, x: np.ndarray) -> np.ndarray:
@@ -334,6 +341,7 @@ def tag_texts(model: Tagger, values: list[str], at_once: int = 512) -> list[list
 
 
 def _plausible(kind: int, s: str) -> bool:
+    """Whether a model's span has a form of its kind; each form holds a match of TRIGGER."""
     d = _digits(s)
     if kind == 0:
         return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+\s*(?:@|[\[(]at[\])])\s*[A-Za-z0-9-]+(?:\s*(?:\.|[\[(]dot[\])])\s*[A-Za-z0-9-]+)+", s))
@@ -374,8 +382,9 @@ SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_
 def find(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
     """SCHEMA for each row: counts and digest of the base spans, and all spans in order of kind and start.
 
-    A null or empty text has none; repeated rows come back as often; a row without doc_id is searched like any other. Windows are decoded only about digits,
-    at signs and spelt-out ones (TRIGGER), one of which every accepted form has. Nothing is shuffled.
+    A null or empty text has none; repeated rows come back as often; a row without doc_id is searched like any other; an empty table gives no rows, and columns
+    beside doc_id and text don't matter. Texts of any length are searched whole, by windows. These are decoded about digits, at signs and spelt-out ones
+    (TRIGGER): every form that _plausible lets a model's span have holds one, so text without them can't add a span. Nothing is shuffled.
     """
     small_batches(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(model or trained())
@@ -393,24 +402,26 @@ def find(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
     return texts(docs).mapInArrow(go, SCHEMA)
 
 
+def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """The text with each span replaced by its kind in brackets; of spans that overlap, the union by the first one's kind."""
+    out, at = [], 0
+    for s, e, k in sorted((s, e, k) for k, s, e in spans):
+        if s >= at:
+            out += [text[at:s], f"[{KINDS[k].upper()}]"]
+        at = max(at, e)
+    return "".join([*out, text[at:]])
+
+
 def mask(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
-    """docs with each span in its text replaced by its kind in brackets; of spans that overlap, the union by the first one's kind."""
+    """docs with the personal data in its texts masked; all rows and columns stay, null and empty texts as they are. A batch's windows are decoded together."""
     from .rewrite import rewrite
 
     small_batches(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(model or trained())
 
-    def edit(x: bytes) -> bytes:
-        text = x.decode()
-        (base, added), *_ = find_all(known.value, [text])
-        if not base and not added:
-            return x
-        out, at, last = [], 0, 0
-        for s, e, k in sorted((s, e, k) for k, s, e in base + added):
-            if s >= at:
-                out += [text[at:s], f"[{KINDS[k].upper()}]"]
-            at = max(at, e)
-        return "".join([*out, text[at:]]).encode()
+    def edit(values: list[bytes]) -> list[bytes]:
+        found = find_all(known.value, [x.decode() for x in values])
+        return [masked(x.decode(), base + added).encode() if base or added else x for x, (base, added) in zip(values, found)]
 
     return rewrite(docs, edit)
 

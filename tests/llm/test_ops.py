@@ -84,6 +84,19 @@ def test_clean_leaves_no_passage(spark, most):
             assert len(decontaminate.words(t.encode())) >= report[d][1] - report[d][2] - 1
 
 
+@pytest.mark.parametrize("most", [decontaminate.MOST_WINDOWS, 0])
+def test_clean_awkward_rows_and_names(spark, most):
+    df = spark.createDataFrame(awkward(), SCHEMA)
+    own = ("t", "starts", "ns", "items", "spans", "t1", "row", "hits")
+    for c in own:
+        df = df.withColumn(c, F.lit(f"own {c}"))
+    long = [(i, t) for i, t in items() if len((t or "").split()) > 4]
+    out = decontaminate.clean(df, spark.createDataFrame(long, ITEM), most_windows=most)
+    assert out.columns == df.columns
+    assert sorted(map(str, out.collect())) == sorted(map(str, df.collect()))  # nothing there is of the benchmark
+    assert decontaminate.clean(df.limit(0), spark.createDataFrame(items(), ITEM), most_windows=most).count() == 0
+
+
 def test_decontamination_sql(spark, sf):
     against_sql(spark, sf, decontaminate.op2, decontaminate.SQL2, ["documents", "benchmark"])
 
