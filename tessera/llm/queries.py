@@ -15,6 +15,7 @@ QUERIES = {
     "op8_simhash_near_dedup": simhash.op8,
     "op9_packing": packing.op9,
     "op10_url_filters": urls.op10,
+    "url_aliases": urls.aliases,
 }
 
 SQL: dict[str, str] = {
@@ -22,4 +23,5 @@ SQL: dict[str, str] = {
     "op3_substring_dedup": substring.SQL3,
     "op5_chat_formatting": chat.SQL5,
     "op10_url_filters": urls.SQL10,
+    "url_aliases": urls.SQL_ALIASES,
 }

@@ -437,6 +437,67 @@ def test_url_aliases(spark):
     assert {r["page_id"]: r["verdict"] for r in urls.judge(spark.createDataFrame(rows, PAGE), redirects=more).collect()}[3] == "block"
 
 
+def brute10(rows, rules, links):
+    """links: (page_id or url, target) as absolute URLs."""
+    def parts(u):
+        rest = u.partition("://")[2] if u and "://" in u else ""
+        h = re.match(r"[^/?#]*", rest)[0]
+        return re.sub("[A-Z]", lambda m: m[0].lower(), h), re.match(r"[^?#]*", rest[len(h) :])[0], rest[len(h) :].partition("#")[0]
+
+    def rule(h, p):
+        fit = [r for r in rules if (h == r[1] or h.endswith("." + r[1])) and p.startswith(r[2])]
+        return min(fit, key=lambda r: (-len(r[1] + r[2]), r[0] != "allow", r[1] + r[2]), default=None)
+
+    name = lambda u: (lambda h, p, t: h + t if h else None)(*parts(u))
+    near = defaultdict(set)
+    for a, b in links:
+        if name(a) and name(b):
+            near[name(a)].add(name(b)), near[name(b)].add(name(a))
+    out = []
+    for i, u, _ in rows:
+        h, p, _t = parts(u)
+        own, seen, todo = rule(h, p), {name(u)}, [name(u)] if u and name(u) in near else []
+        while todo:
+            for x in near[todo.pop()] - seen:
+                seen.add(x), todo.append(x)
+        acts = {r[0] for x in seen if x and len(seen) > 1 and (r := rule(*parts("x://" + x)[:2]))}
+        out.append((i, h, p, own and own[1] + own[2], own[0] if own else min(acts, default="allow")))
+    return out
+
+
+@pytest.mark.parametrize("most", [200, 0])
+def test_url_rules_against_brute_force(spark, most):
+    r = random.Random(11)
+    name = lambda: ".".join(r.choice(["a", "b", "com", "net", "x"]) for _ in range(r.randint(1, 3)))
+    where = lambda: "/" + "/".join(r.choice(["p", "q", "pp", ""]) for _ in range(r.randint(0, 3)))
+    rules = [(r.choice(["allow", "block"]), name(), where()[: r.randint(1, 6)]) for _ in range(12)] + [("block", "t.com", "/s"), ("allow", "t.com", "/s")]
+    rows = [(i, f"http://{name()}{where()}" + r.choice(["", "?q=1", "#f"]), None) for i in range(150)] + [(150, "http://T.com/s", "x" * 300_000), (151, "http://l.com/" + "y" * 100_000, ""), (None, None, None), (None, None, None), (152, "", "")]
+    some = [u for _, u, _ in rows if u]
+    links = [(r.choice(some), r.choice(some + ["http://far.away/"])) for _ in range(40)]
+    df = spark.createDataFrame(rows, PAGE).withColumn("target", F.lit("x")).withColumn("action", F.lit("x"))
+    same(urls.judge(df, rules, spark.createDataFrame(links, "url string, target string"), most_rules=most), brute10(rows, rules, links))
+
+
+def test_url_targets_are_resolved(spark):
+    from urllib.parse import urljoin
+
+    base = ["http://h.xyz/a/b/c?q=1#f", "http://h.xyz", "https://H.xyz/a/", "http://h.xyz/?x"]
+    targets = ["/en/9", "//c.com/en/3", "d", "./d", "../d", "../../../d/./e", "d/../e", "?z=1", "https://k.xyz/1#g", "d?x=1", "..", ".", "d/", "&amp;x", "../"]
+    df = spark.createDataFrame([(b, t) for b in base for t in targets], "url string, target string")
+    for r in df.select("url", "target", urls.node(urls.resolved(F.col("target"), F.col("url"))).alias("got")).collect():
+        whole = urljoin(r["url"], r["target"].replace("&amp;", "&")).partition("#")[0].partition("://")[2]
+        h, s, rest = whole.partition("/")
+        assert r["got"] == h.lower() + s + rest, r
+    none = spark.createDataFrame([("http://h/", "mailto:a@b"), ("http://h/", "#x"), ("http://h/", ""), (None, "/x"), ("no", "x"), ("http://h/", None)], "url string, target string")
+    assert all(r[0] is None for r in none.select(urls.resolved(F.col("target"), F.col("url"))).collect())
+
+
+def test_url_aliases_sql(spark, sf):
+    against_sql(spark, sf, urls.aliases, urls.SQL_ALIASES, [])
+    got = {r["page_id"]: r["verdict"] for r in urls.aliases(spark, sf).collect()}
+    assert [i for i, v in got.items() if v == "block"] and got[7] == got[9] == got[10] == got[16] == "block" and got[4] == got[5] == got[14] == "allow"
+
+
 def test_url_sql(spark, sf):
     against_sql(spark, sf, urls.op10, urls.SQL10, ["pages"])
     plan = urls.op10(spark, sf)._jdf.queryExecution().toString()
