@@ -11,19 +11,16 @@ import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import small_batches, stored, table
 
 LENGTH, EOS = 4096, 2
 #: A source is served once this many tokens are due to it, so that documents aren't cut into crumbs; what isn't served is carried on.
 QUANTUM = 512
-#: Tokens that wait in a task's queues before windows are filled.
-BUFFER = 1 << 20
-#: Sources with a queue of their own; the rest share one.
-MOST_SOURCES = 10_000
-#: Bytes of text, about, that a task packs.
-TASK_BYTES = 16 << 20
+#: Bytes of text, about, that a task packs: a 4096th of all, within these bounds. A task holds their ids, a third to a half of that, in its queues.
+TASK_BYTES = (16 << 20, 256 << 20)
 #: Entries of a worker's memory of chunks and words.
 MOST_CHUNKS = 1_000_000
 
@@ -103,12 +100,13 @@ def tokens(path: str) -> Chunks:
 class Packer:
     """Queues by source, whose windows are filled by deficit round-robin.
 
-    For each window every source is due its share of it. The sources to which most is due are served first, each no more than is due; what then is free goes
-    to the longest queues, whose deficits fall below zero. Deficits, whatever their sign, are carried into the next window.
+    For each window every source that has tokens left is due its share of it. The sources to which most is due are served first, each no more than is due;
+    what then is free goes to those to which most is due still, whose deficits may fall below zero. Deficits, whatever their sign, are carried into the next
+    window; a source that has run out is due nothing, and its share falls to the others.
     """
 
     def __init__(self, shares: dict, carried: dict, base: int, length: int = LENGTH, quantum: int = QUANTUM):
-        self.shares, self.due = shares, dict(carried)
+        self.shares, self.due = shares, defaultdict(float, carried)
         self.queues: dict = {}
         self.waiting: dict = {}
         self.total, self.sequence, self.length, self.quantum = 0, base, length, quantum
@@ -121,9 +119,9 @@ class Packer:
 
     def _take(self, source, n: int, offset: int) -> int:
         queue = self.queues[source]
-        self.waiting[source] -= n
         self.total -= n
-        self.due[source] = self.due.get(source, 0.0) - n
+        self.due[source] -= n
+        self.waiting[source] -= n
         while n:
             head = queue[0]
             doc_id, ids, at = head
@@ -134,86 +132,105 @@ class Packer:
                 queue.popleft()
             else:
                 head[2] = at + k
+        if not queue:
+            del self.queues[source], self.waiting[source], self.due[source]
         return offset
 
     def window(self, size: int) -> None:
-        for s, share in self.shares.items():
-            self.due[s] = self.due.get(s, 0.0) + share * size
+        weight = sum(self.shares.get(s, 0.0) for s in self.waiting)
+        for s in self.waiting:
+            self.due[s] += size * (self.shares.get(s, 0.0) / weight if weight else self.waiting[s] / self.total)
         offset = 0
-        ready = sorted((s for s, w in self.waiting.items() if w), key=lambda s: (-self.due.get(s, 0.0), str(s)))
-        for s in ready:
-            n = min(int(self.due.get(s, 0.0)), self.waiting[s], size - offset)
+        for s in sorted(self.waiting, key=lambda s: (-self.due[s], s)):
+            n = min(int(self.due[s]), self.waiting[s], size - offset)
             if n >= min(self.quantum, self.waiting[s], size) and n > 0:
                 offset = self._take(s, n, offset)
         while offset < size:
-            s = max((s for s, w in self.waiting.items() if w), key=lambda s: (self.due.get(s, 0.0), self.waiting[s], str(s)))
-            offset = self._take(s, min(self.waiting[s], size - offset, max(self.quantum, int(self.due.get(s, 0.0)))), offset)
+            s = min(self.waiting, key=lambda s: (-self.due[s], s))
+            offset = self._take(s, min(self.waiting[s], size - offset, max(self.quantum, int(self.due[s]))), offset)
         self.sequence += 1
 
-    def fill(self, least: int) -> None:
-        while self.total >= max(least, self.length):
-            self.window(self.length)
-
-    def finish(self) -> None:
-        """What is left, in sequences of powers of two, which aren't padded."""
-        self.fill(0)
+    def windows(self):
+        """Fills all windows; what is left goes into sequences of powers of two, which aren't padded. Yields after each."""
         while self.total:
-            self.window(1 << (self.total.bit_length() - 1))
+            self.window(self.length if self.total >= self.length else 1 << (self.total.bit_length() - 1))
+            yield
 
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
+DEALT = "task int, turn long, doc_id long, source string, n long, ids binary"
 
 
-DEALT = "task int, turn long, doc_id long, source string, ids binary"
-
-
-def _bytes_by(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce("source", F.lit("")).alias("source"), (F.octet_length(F.coalesce("text", F.lit(""))) + 1).alias("n")).groupBy("source").agg(F.sum("n").alias("n"))
+def deal(docs: DataFrame, tokenizer: str, tasks: int) -> DataFrame:
+    """DEALT: the token ids of each document, and the packing task that it goes to. Each partition of the input deals the documents of each source in turn, from
+    a task of its own choice on, so that every task has its share of every source however the input is ordered; turn scatters them within the task."""
 
-
-def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, quantum: int = QUANTUM, buffer: int = BUFFER) -> DataFrame:
-    """SCHEMA for each piece of each document (doc_id, source, text).
-
-    Target proportions are the sources' shares of all texts' bytes. Each partition of the input tokenises its rows and deals those of each source in turn to
-    the packing tasks, of TASK_BYTES each, which take them in a scattered order: so every task has all sources at any time, however the input is ordered. Its
-    queues are bounded. Full sequences have `length` tokens, and a task's rest goes into sequences of powers of two, so nothing is padded. A null text is
-    empty, and any document ends with id 2, so none lacks a piece; a null source is a source; rows that repeat come back as often.
-    """
-    small_batches(docs.sparkSession, 1000)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    by = _bytes_by(docs)
-    top = {r["source"]: r["n"] for r in by.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "source").limit(MOST_SOURCES).collect()}
-    rest = (by.agg(F.sum("n")).first()[0] or 0) - sum(top.values())
-    if rest:
-        top[None] = rest
-    everything = sum(top.values()) or 1
-    shares = {s: n / everything for s, n in top.items()}
-    tasks = -(-everything // TASK_BYTES)
-    known = docs.sparkSession.sparkContext.broadcast(shares)
-
-    def deal(batches):
-        shares, part, row = known.value, TaskContext.get().partitionId(), 0
+    def go(batches):
+        part, row = TaskContext.get().partitionId(), 0
         of = tokens(tokenizer).ids
-        dealt: dict = defaultdict(int)
+        dealt: dict[str, int] = {}
         for b in batches:
             turns, to, sources, ids = [], [], [], []
             for source, text in zip(b["source"].to_pylist(), b["text"].to_pylist()):
                 source = source or ""
-                own = source if source in shares else None
-                if own not in dealt:
-                    dealt[own] = xxhash.xxh3_64_intdigest(f"{part} {own}")
-                to.append(dealt[own] % tasks)
-                dealt[own] += 1
+                k = dealt.get(source)
+                dealt[source] = k = xxhash.xxh3_64_intdigest(f"{part} {source}") % tasks if k is None else (k + 1) % tasks
+                to.append(k)
                 turns.append(xxhash.xxh3_64_intdigest(f"{part} {row}") >> 1)
                 row += 1
                 sources.append(source)
                 ids.append(of(text or "").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(turns, pa.int64()), b["doc_id"], pa.array(sources, pa.string()), pa.array(ids, pa.binary())], ["task", "turn", "doc_id", "source", "ids"])
+            sizes = pa.array([len(x) // 2 for x in ids], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(turns, pa.int64()), b["doc_id"], pa.array(sources, pa.string()), sizes, pa.array(ids, pa.binary())], [x.split()[0] for x in DEALT.split(", ")])
+
+    return docs.mapInArrow(go, DEALT)
+
+
+def plan(dealt: DataFrame, targets: dict[str, float] | None, length: int) -> DataFrame:
+    """(task, source, share, due) for the sources of each task: the target, and the deficit in tokens that the tasks before leave it.
+
+    Without targets each source has its own proportion of the corpus as its target, which within a task is its proportion there. The deficit is what would have been
+    due to it by then, less what it has got: all of its tokens that went to the tasks before. It is held to one sequence's length either way.
+    """
+    by = dealt.groupBy("task", "source").agg(F.sum("n").alias("n"))
+    per = by.groupBy("task").agg(F.sum("n").alias("all"))  # a row for each task
+    so_far = per.select("task", "all", F.coalesce(F.sum("all").over(W.orderBy("task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    own = W.partitionBy("source")
+    got = F.coalesce(F.sum("n").over(own.orderBy("task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    both = by.withColumn("got", got).withColumn("whole", F.sum("n").over(own)).join(so_far, "task")
+    total = per.agg(F.sum("all")).first()[0] or 1
+    if targets is None:
+        share, target = F.col("n") / F.col("all"), F.col("whole") / F.lit(float(total))
+    else:
+        everything = float(sum(targets.values())) or 1.0
+        given = F.create_map(*[F.lit(x) for s, t in targets.items() for x in (s, t / everything)]) if targets else F.create_map().cast("map<string,double>")
+        share = target = F.coalesce(F.try_element_at(given, F.col("source")), F.lit(0.0))
+    due = F.greatest(F.lit(-float(length)), F.least(F.lit(float(length)), target * F.col("before") - F.col("got")))
+    return both.select("task", "source", share.cast("double").alias("share"), due.cast("double").alias("due"))
+
+
+def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, quantum: int = QUANTUM, targets: dict[str, float] | None = None) -> DataFrame:
+    """SCHEMA for each piece of each document (doc_id, source, text).
+
+    targets: the proportions of tokens by source that windows are filled to, while the sources last; a source that isn't named has none and comes when the
+    others have run out. Without targets these are the sources' shares of all tokens. Documents are tokenised where they are read, dealt to packing tasks (see
+    deal) and stored; deficits are counted in tokens and carried from window to window and from task to task (see plan). Full sequences have `length` tokens,
+    and a task's rest goes into sequences of powers of two, so nothing is padded. A null text is empty, and any document ends with id 2, so none lacks a
+    piece; a null source is the source ''; rows that repeat come back as often; an empty table gives none, and other columns don't matter. Texts of any length
+    are cut freely; a task's memory is its share of the text, or its longest document's.
+    """
+    spark = docs.sparkSession
+    small_batches(spark, 1000)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+    size = docs.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    tasks = max(1, -(-size // min(TASK_BYTES[1], max(TASK_BYTES[0], size // 4096))))
+    dealt = stored(deal(docs, tokenizer, tasks), "dealt")
+    rows = dealt.select("task", "turn", "doc_id", "source", "ids", F.lit(None).cast("double").alias("share"), F.lit(None).cast("double").alias("due"))
+    heads = plan(dealt, targets, length).select("task", F.lit(-1).cast("long").alias("turn"), F.lit(None).cast("long").alias("doc_id"), "source", F.lit(None).cast("binary").alias("ids"), "share", "due")
 
     def go(batches):
-        shares = known.value
-        packer = Packer(shares, {}, TaskContext.get().partitionId() << 36, length, quantum)
+        packer = Packer({}, {}, TaskContext.get().partitionId() << 36, length, quantum)
 
         def out():
             cols = list(zip(*packer.rows))
@@ -221,18 +238,18 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, quantum: int = Q
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], NAMES)
 
         for b in batches:
-            for doc_id, source, ids in zip(b["doc_id"].to_pylist(), b["source"].to_pylist(), b["ids"].to_pylist()):
-                packer.put(source if source in shares else None, doc_id, np.frombuffer(ids, "<u2"))
-                if packer.total >= 2 * buffer:
-                    packer.fill(buffer)
-            if packer.rows:
+            for doc_id, source, ids, share, due in zip(*(b[c].to_pylist() for c in ("doc_id", "source", "ids", "share", "due"))):
+                if ids is None:
+                    packer.shares[source], packer.due[source] = share, due
+                else:
+                    packer.put(source, doc_id, np.frombuffer(ids, "<u2"))
+        for _ in packer.windows():
+            if len(packer.rows) > 20_000:
                 yield out()
-        packer.finish()
         if packer.rows:
             yield out()
 
-    dealt = docs.mapInArrow(deal, DEALT).repartitionById(tasks, "task").sortWithinPartitions("turn")
-    return dealt.select("doc_id", "source", "ids").mapInArrow(go, SCHEMA)
+    return rows.union(heads).repartitionById(tasks, "task").sortWithinPartitions("turn").select("doc_id", "source", "ids", "share", "due").mapInArrow(go, SCHEMA)
 
 
 def default_tokenizer() -> str:
