@@ -1,4 +1,8 @@
-"""Quality classifier from weak labels: heuristic labellers, their accuracies by expectation-maximisation, and a hashed linear scorer."""
+"""Quality classifier from weak labels: heuristic labellers, their accuracies by expectation-maximisation, and a hashed linear scorer.
+
+Labellers overlap and may abstain. Which of them are right how often is estimated from all documents' votes; the posterior labels of a sample train the
+scorer, and the scorer alone decides.
+"""
 
 from __future__ import annotations
 
@@ -21,16 +25,18 @@ BITS = 17
 #: Words that say nothing are added to each text, so that the few of a short one don't decide alone.
 DAMP = 5
 GOOD, BAD, NONE = 1, 0, 2
-LABELLERS = ("symbols", "capitals", "stutter", "variety", "sentences", "word_length", "lines")
+LABELLERS = ("symbols", "capitals", "stutter", "variety", "sentences", "word_length", "lines", "toxic")
 SYMBOLS = b"|#%$&*!~^=<>{}\\"
 
 
-def votes(text: bytes) -> tuple[int, ...]:
-    """What each labeller says: GOOD, BAD or NONE. A text of under five words gives too little to judge by."""
+def votes(text: bytes, toxic: bool | None = None) -> tuple[int, ...]:
+    """What each labeller says: GOOD, BAD or NONE. A text of under five words gives too little to judge by, but for the last labeller, which calls a text bad
+    that has a word of the lexicon (toxic; None: there is no lexicon)."""
     words = text.split()
     n = len(words)
+    last = BAD if toxic else NONE if toxic is None or n < 5 else GOOD
     if n < 5:
-        return (NONE,) * len(LABELLERS)
+        return (*(NONE,) * (len(LABELLERS) - 1), last)
     pick = lambda x, good, bad: GOOD if good(x) else BAD if bad(x) else NONE
     low = text.translate(LOWER)
     small = sum(map(text.count, [b"a", b"e", b"i", b"o", b"n", b"t"]))
@@ -52,6 +58,7 @@ def votes(text: bytes) -> tuple[int, ...]:
         pick(stops, lambda x: 0.015 < x < 0.5, lambda x: x < 0.002 or x > 0.8) if n >= 40 else NONE,
         pick(length, lambda x: 3 <= x <= 10, lambda x: x < 2 or x > 16),
         pick(again, lambda x: x < 0.3, lambda x: x > 0.6) if len(lines) >= 4 else NONE,
+        last,
     )
 
 
@@ -122,6 +129,17 @@ def _features(values: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 N_WEIGHTS = (1 << BITS) + 4096
+#: The feature of texts with a word of the lexicon: one such word says as much in a long text as in a short one. (No word ends with the byte of this shape.)
+TOXIC = N_WEIGHTS - 1
+
+
+def lexicon_hits(lexicon: np.ndarray, keys: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Words of each text that are in the lexicon, by themselves or by their beginning."""
+    if not len(lexicon) or not len(keys):
+        return np.zeros(len(at) - 1, np.int64)
+    place = np.minimum(np.searchsorted(lexicon, keys), len(lexicon) - 1)
+    hit = np.concatenate([[0], np.cumsum((lexicon[place] == keys).any(1))])
+    return hit[at[1:]] - hit[at[:-1]]
 
 
 @dataclass
@@ -131,32 +149,37 @@ class Scorer:
     lexicon: np.ndarray  # sorted hashes of toxic words and beginnings
 
     def score(self, values: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """P(good), toxic words and words of each text. Without words the bias alone speaks."""
+        """P(good), words of the lexicon and words of each text. Without words the bias alone speaks."""
         p, hits, sizes = [], [], []
         for i, j in chunks(values):
             idx, keys, at = _features(values[i:j])
-            n = np.diff(at)
+            n, hit = np.diff(at), lexicon_hits(self.lexicon, keys, at)
             sums = np.concatenate([[0.0], np.cumsum(self.weights[idx].sum(1))])
-            z = self.bias + (sums[at[1:]] - sums[at[:-1]]) / (DAMP + n)
-            if len(self.lexicon):
-                place = np.minimum(np.searchsorted(self.lexicon, keys), len(self.lexicon) - 1)
-                hit = np.concatenate([[0], np.cumsum((self.lexicon[place] == keys).any(1))])
-            else:
-                hit = np.zeros(len(keys) + 1, np.int64)
+            z = self.bias + (sums[at[1:]] - sums[at[:-1]]) / (DAMP + n) + self.weights[TOXIC] * (hit > 0)
             p.append(1 / (1 + np.exp(-z)))
-            hits.append(hit[at[1:]] - hit[at[:-1]])
+            hits.append(hit)
             sizes.append(n)
         none = np.zeros(0)
         return np.concatenate(p or [none]), np.concatenate(hits or [none]).astype(np.int64), np.concatenate(sizes or [none]).astype(np.int64)
 
 
-def _patterns(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Vote patterns over all documents and their counts; there are no more than 3**7."""
+def _voted(values: list[bytes], lexicon: np.ndarray) -> list[tuple[int, ...]]:
+    if not len(lexicon):
+        return list(map(votes, values))
+    toxic: list[bool] = []
+    for i, j in chunks(values):
+        _, keys, at = _features(values[i:j])
+        toxic += (lexicon_hits(lexicon, keys, at) > 0).tolist()
+    return list(map(votes, values, toxic))
+
+
+def _patterns(docs: DataFrame, lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vote patterns over all documents and their counts; there are no more than 2 * 3**7."""
 
     def go(batches):
         count: Counter = Counter()
         for b in batches:
-            count.update(map(votes, utf8(b["text"])))
+            count.update(_voted(utf8(b["text"]), lexicon))
         yield pa.RecordBatch.from_arrays([pa.array(["".join(map(str, k)) for k in count], pa.string()), pa.array(list(count.values()), pa.int64())], ["votes", "n"])
 
     rows = docs.select("text").mapInArrow(go, "votes string, n long").groupBy("votes").agg(F.sum("n").alias("n")).orderBy("votes").collect()
@@ -164,36 +187,46 @@ def _patterns(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sample(docs: DataFrame, most: int, total: int) -> DataFrame:
-    """About most rows by a hash of the text, the same ones each time."""
+    """About most distinct texts, and never twice as many, chosen by a hash of the text: a text of many copies is one, the same ones each time."""
     rate = min(1.0, most / max(1, total))
-    return docs.filter(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30)) < int(rate * (1 << 30)))
+    some = docs.select(F.coalesce("text", F.lit("")).alias("text")).filter(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30)) < int(rate * (1 << 30)))
+    return some.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).orderBy("h").limit(2 * most).select("text")
 
 
-def example_rows(values: list[bytes], labels: LabelModel) -> list[tuple[float, bytes, bytes]]:
-    """Posterior, and feature numbers with their means, of each text."""
-    y = labels.posterior(np.array([votes(v) for v in values], np.int64).reshape(-1, len(LABELLERS)))
-    idx, _, at = _features(values)
+def example_rows(values: list[bytes], labels: LabelModel, lexicon: np.ndarray) -> list[tuple[float, bytes, bytes]]:
+    """Posterior, and feature numbers with their values, of each text."""
+    y = labels.posterior(np.array(_voted(values, lexicon), np.int64).reshape(-1, len(LABELLERS)))
+    idx, keys, at = _features(values)
+    toxic = lexicon_hits(lexicon, keys, at) > 0
     rows = []
     for k in range(len(values)):
         u, c = np.unique(idx[at[k] : at[k + 1]], return_counts=True)
-        rows.append((float(y[k]), u.astype("<i4").tobytes(), (c / (DAMP + at[k + 1] - at[k])).astype("<f4").tobytes()))
+        x = c / (DAMP + at[k + 1] - at[k])
+        if toxic[k]:
+            u, x = np.append(u, TOXIC), np.append(x, 1.0)
+        rows.append((float(y[k]), u.astype("<i4").tobytes(), x.astype("<f4").tobytes()))
     return rows
 
 
-def _fit(sample: DataFrame, labels: LabelModel, rounds: int = 150, rate: float = 60.0) -> tuple[np.ndarray, float]:
+def _fit(sample: DataFrame, labels: LabelModel, lexicon: np.ndarray, rounds: int = 150, rate: float = 60.0) -> tuple[np.ndarray, float]:
     """Logistic regression of the posteriors on the sample's mean hashed features."""
 
     def go(batches):
         for b in batches:
-            rows = example_rows(utf8(b["text"]), labels)
+            rows = example_rows(utf8(b["text"]), labels, lexicon)
             cols = list(zip(*rows)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.float64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["y", "i", "x"])
 
-    return fit_rows(sorted((r["y"], bytes(r["i"]), bytes(r["x"])) for r in sample.select("text").mapInArrow(go, "y double, i binary, x binary").collect()), rounds, rate)
+    rows = sorted((r["y"], bytes(r["i"]), bytes(r["x"])) for r in sample.mapInArrow(go, "y double, i binary, x binary").collect())  # at most twice MOST_FITTED texts' words
+    said = labels.seen[-1, :, BAD]
+    return fit_rows(rows, rounds, rate, float(np.log(said[GOOD] / said[BAD])) if len(lexicon) else 0.0, float(np.log(labels.prior / (1 - labels.prior))))
 
 
-def fit_rows(rows: list[tuple[float, bytes, bytes]], rounds: int, rate: float) -> tuple[np.ndarray, float]:
-    w, bias = np.zeros(N_WEIGHTS), 0.0
+def fit_rows(rows: list[tuple[float, bytes, bytes]], rounds: int, rate: float, toxic: float, bias: float) -> tuple[np.ndarray, float]:
+    """Weights and bias; toxic: the weight that its feature starts from, which is what the label model makes of that labeller. The bias is given and stays: a
+    text without words is as good as the label model holds any."""
+    w = np.zeros(N_WEIGHTS)
+    w[TOXIC] = toxic
     if not rows:
         return w, bias
     y = np.array([r[0] for r in rows])
@@ -204,8 +237,7 @@ def fit_rows(rows: list[tuple[float, bytes, bytes]], rounds: int, rate: float) -
         z = bias + np.bincount(doc, w[idx] * x, len(rows))
         g = (1 / (1 + np.exp(-z)) - y) / len(rows)
         w -= rate * (np.bincount(idx, g[doc] * x, N_WEIGHTS) + 1e-5 * w)
-        bias -= 0.02 * rate * g.sum()
-    return w, float(bias)
+    return w, bias
 
 
 def _lexicon(docs: DataFrame, labels: DataFrame, most: int, least: int = 6) -> np.ndarray:
@@ -232,16 +264,17 @@ def _lexicon(docs: DataFrame, labels: DataFrame, most: int, least: int = 6) -> n
 
 
 def fit(docs: DataFrame, labels: DataFrame | None = None, most_fitted: int = MOST_FITTED, most_labelled: int = MOST_LABELLED) -> tuple[LabelModel, Scorer]:
-    """The label model over all documents' votes, and a scorer fitted to about most_fitted of them.
+    """The label model over all documents' votes, and a scorer fitted to about most_fitted distinct texts.
 
-    labels (doc_id, toxic), if given: about most_labelled of its rows give the lexicon of toxic words.
+    labels (doc_id, toxic), if given: about most_labelled of its rows give the lexicon of one labeller, which calls texts with toxic words bad. Rows of labels
+    without doc_id or toxic say nothing; an id that is there several times is toxic if a row says so.
     """
     small_batches(docs.sparkSession)
     docs = texts(docs)
-    patterns, counts = _patterns(docs)
-    model = fit_labels(patterns, counts)
-    weights, bias = _fit(_sample(docs, most_fitted, int(counts.sum())), model)
     lexicon = _lexicon(docs, labels, most_labelled) if labels is not None else np.zeros(0, np.uint64)
+    patterns, counts = _patterns(docs, lexicon)
+    model = fit_labels(patterns, counts)
+    weights, bias = _fit(_sample(docs, most_fitted, int(counts.sum())), model, lexicon)
     return model, Scorer(weights, bias, lexicon)
 
 
@@ -249,40 +282,42 @@ SCHEMA = "doc_id long, n_words long, p_quality double, n_toxic long, keep boolea
 
 
 def classify(docs: DataFrame, labels: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
-    """SCHEMA for each row: keep is p_quality >= threshold and no toxic word.
+    """SCHEMA for each row: keep is p_quality >= threshold.
 
-    Null and empty texts have no words and get what the bias gives; equal texts get equal results; a row without doc_id is judged like any other. Nothing
-    is shuffled but counts.
+    Null and empty texts have no words and get what the bias gives; equal texts get equal results; a row without doc_id is judged like any other; an empty
+    table gives no rows, and columns beside doc_id and text don't matter. Texts of any length count whole. Nothing is shuffled but counts and the sample.
     """
     scorer = docs.sparkSession.sparkContext.broadcast(fit(docs, labels)[1])
 
     def go(batches):
         for b in batches:
             p, hits, n = scorer.value.score(utf8(b["text"]))
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(np.round(p, 6)), pa.array(hits, pa.int64()), pa.array((p >= threshold) & (hits == 0), pa.bool_())], ["doc_id", "n_words", "p_quality", "n_toxic", "keep"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(np.round(p, 6)), pa.array(hits, pa.int64()), pa.array(p >= threshold, pa.bool_())], ["doc_id", "n_words", "p_quality", "n_toxic", "keep"])
 
     return texts(docs).mapInArrow(go, SCHEMA)
 
 
 def kept(docs: DataFrame, labels: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs, unchanged, that classify keeps."""
+    """The rows of docs, unchanged, that classify keeps; null and empty texts are judged by the bias, and copies alike."""
     scorer = docs.sparkSession.sparkContext.broadcast(fit(docs, labels)[1])
     at = docs.columns.index("text")
 
     def go(batches):
         for b in batches:
-            p, hits, _ = scorer.value.score(utf8(b.column(at)))
-            yield b.filter(pa.array((p >= threshold) & (hits == 0), pa.bool_()))
+            yield b.filter(pa.array(scorer.value.score(utf8(b.column(at)))[0] >= threshold, pa.bool_()))
 
     return docs.mapInArrow(go, docs.schema)
 
 
 def labelled(spark, sf_dir: str) -> DataFrame | None:
+    """The table of labels; a corpus without one has no lexicon."""
     from pyspark.errors import AnalysisException
 
     try:
         return table(spark, sf_dir, "labels")
-    except AnalysisException:  # a corpus without labels has no lexicon
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 

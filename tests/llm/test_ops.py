@@ -307,13 +307,54 @@ def test_label_model_finds_accuracies():
 
 
 def test_quality_held_out(spark):
-    sf = "/root/testdata/sf0.01"
-    got = {r["doc_id"]: r for r in quality.op7(spark, sf).collect()}
-    rows = duckdb.sql(f"select doc_id, quality, toxic from '{sf}/labels.parquet'").fetchall()
-    assert len(got) == 1000
-    right = [(got[d]["p_quality"] >= 0.5) == bool(q) for d, q, _ in rows]
+    """Labels are split: toxic words are learned from one half, and the other half is judged."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    got = {r["doc_id"]: r for r in quality.classify(docs, labels.filter(half == 0)).collect()}
+    rows = [tuple(r) for r in labels.filter(half == 1).select("doc_id", "quality", "toxic").collect()]
+    assert len(got) == 10_000 and len(rows) > 300
+    clean = [(d, q) for d, q, t in rows if not t]
+    right = [(got[d]["p_quality"] >= 0.5) == bool(q) for d, q in clean]
     assert sum(right) / len(right) > 0.97
-    assert all(got[d]["keep"] for d, q, t in rows if q and not t) or sum(got[d]["keep"] for d, q, t in rows if q and not t) / sum(1 for d, q, t in rows if q and not t) > 0.98
+    assert sum(got[d]["keep"] for d, q in clean if q) / sum(q for _, q in clean) > 0.98
+    toxic = [d for d, _, t in rows if t]
+    assert sum(not got[d]["keep"] for d in toxic) / len(toxic) > 0.9
+    assert all(r["keep"] == (r["p_quality"] >= 0.5) for r in got.values())
+
+
+def test_scorer_by_brute_force():
+    """What the vectorised scorer gives, word by word."""
+    r = np.random.default_rng(3)
+    weights = r.normal(size=quality.N_WEIGHTS)
+    values = [b"", b"One two  two\nThree. A", b"bad Word", "ñandú É x x".encode(), b"w " * 50]
+    _, keys, at = quality._features(values)
+    lexicon = np.sort(keys[at[2] : at[2] + 1, 0])  # "bad", as a whole word
+    p, hits, n = quality.Scorer(weights, 0.25, lexicon).score(values)
+    for i, v in enumerate(values):
+        z, last, words, low = 0.0, None, v.split(), v.translate(quality.LOWER).split()
+        for w, l in zip(words, low):
+            whole, short = (int(quality.word_hashes(np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)]))[0]) for x in (l, l[:5]))
+            upper = lambda k: 65 <= w[min(k, len(w) - 1)] <= 90  # noqa: E731, B023
+            shape = w[-1] * 16 + upper(0) * 8 + upper(1) * 4 + (l == last) * 2 + (len(w) < 2)
+            size = (1 << quality.BITS) - 1
+            z += weights[whole & size] + weights[short >> 40 & size] + weights[size + 1 + shape]
+            last = l
+        z = 0.25 + z / (quality.DAMP + len(words)) + weights[quality.TOXIC] * (i == 2)
+        assert p[i] == pytest.approx(1 / (1 + np.exp(-z))) and n[i] == len(words) and hits[i] == (i == 2)
+
+
+def test_sample_has_each_text_once(spark):
+    df = spark.createDataFrame([("hot",)] * 5000 + [(f"t{i}",) for i in range(50)] + [(None,)] * 30 + [("",)], "text string")
+    assert quality._sample(df, 5081, 5081).count() == 52
+    assert quality._sample(df, 10, 10).count() == 20  # never more than twice as many
+
+
+def test_labels_with_gaps(spark):
+    df = spark.createDataFrame([(i, "vile foul words here " * 3 if i % 2 else f"plain prose goes on and on {i} times over", "en", "s", 1) for i in range(40)], SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)] + [(1, 0), (1, None), (None, 1), (99, 1)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in quality.classify(df, labels).collect()}
+    assert all(r["n_toxic"] > 0 and not r["keep"] if d % 2 else r["n_toxic"] == 0 for d, r in got.items())
 
 
 def test_quality_awkward(spark):
@@ -321,8 +362,10 @@ def test_quality_awkward(spark):
     assert len(out) == len(awkward())
     assert {r["n_words"] for r in out if r["doc_id"] in (1, 2, 3)} == {0}
     assert quality.classify(frame(spark, []), None).count() == 0
-    df = spark.createDataFrame(awkward(), SCHEMA)
-    assert quality.kept(df).columns == df.columns
+    df = spark.createDataFrame(awkward(), SCHEMA).withColumn("p", F.lit("own")).withColumn("h", F.lit("own"))
+    kept = quality.kept(df)
+    assert kept.columns == df.columns and all(r["p"] == r["h"] == "own" for r in kept.collect())
+    assert quality.kept(df.limit(0)).count() == 0
 
 
 # packing
