@@ -213,6 +213,18 @@ def test_links_by_brute_force(spark):
     assert {tuple(r) for r in simhash.links(df, segments=4).collect()} == want
 
 
+@pytest.mark.parametrize("segments", [2, 4])
+def test_links_of_hot_segments(spark, segments):
+    rng = random.Random(4)
+    half = rng.getrandbits(32)
+    other = [rng.getrandbits(32) for _ in range(8)]
+    fps = {x ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 3))) for o in other for x in [half << 32 | o, o << 32 | half] for _ in range(12)}
+    signed = [f - 2**64 if f >> 63 else f for f in fps]
+    df = spark.createDataFrame([(f,) for f in signed], "fp long")
+    want = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 2}
+    assert {tuple(r) for r in simhash.links(df, segments=segments, most_held=10).collect()} == want and want
+
+
 def test_components_long_path(spark):
     from tessera.llm.components import components
 
