@@ -4,18 +4,19 @@ from __future__ import annotations
 
 import ast
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-MARKERS = r"(?i)(@\w+(\.\w+)*\.(tool|prompt|resource)\b|\b(fastmcp|add_tool|register_tool|mcpserver)\b)"
+MARKERS = r"(?i)(@(\w+\.)*(tool|prompt|resource)\b|\b(fastmcp|add_tool|register_tool|mcpserver)\b)"
 FILES = ("open", "read", "write", "path", "file")
 NETWORK = ("request", "http", "socket", "urllib", "fetch")
 PROCESS = ("subprocess", "popen", "system", "spawn")
 EVAL = {"eval", "exec", "compile", "__import__"}
 KINDS = ("tool", "prompt", "resource")
 
-CONTEXT = "file string, name string, line int, kind string, doc string, parameters array<string>, calls array<string>, reaches_calls array<string>, reaches_returns boolean, dead_stores array<string>, constants string, complexity int, has_file boolean, has_network boolean, has_process boolean, has_eval boolean, error string"
+CONTEXT = "file string, name string, line int, kind string, doc string, parameters array<string>, calls array<string>, reaches_calls array<string>, reaches_returns boolean, dead_stores array<string>, constants string, complexity int, assignments array<string>, returns array<string>, literals array<string>, handlers array<string>, environment array<string>, global_writes array<string>, attributes array<string>, imports array<string>, control_flow array<string>, dependencies array<string>, has_dangerous_imports boolean, has_file boolean, has_network boolean, has_process boolean, has_eval boolean, error string"
 
 
 def dotted(node: ast.AST) -> str:
@@ -85,10 +86,36 @@ def flows(fn: ast.AST, parameters: list[str]) -> tuple[set[str], bool, set[str]]
     return calls - {""}, returns, tainted
 
 
+LITERALS, LITERAL_CHARS, RETURN_CHARS, ATTRIBUTES = 20, 200, 100, 20
+
+
+def evidence(fn: ast.AST) -> dict[str, list[str]]:
+    """What a judge is shown of a function, as lists of lines, cut to their caps."""
+    nodes = sorted((n for s in fn.body for n in ast.walk(s)), key=lambda n: (getattr(n, "lineno", 0), getattr(n, "col_offset", 0)))
+    once = lambda xs: list(dict.fromkeys(xs))
+    shared = {n for x in nodes if isinstance(x, (ast.Global, ast.Nonlocal)) for n in x.names}
+    stored = [(t, n) for n in nodes if isinstance(n, ast.stmt) for t in _targets(n)]
+    asked = [n for n in nodes if isinstance(n, (ast.Call, ast.Subscript))]
+    environment = [ast.unparse(n) for n in asked if re.match(r"(os\.)?(environ|getenv)\b", ast.unparse(n))]
+    called = {id(n.func) for n in nodes if isinstance(n, ast.Call)}
+    return {
+        "assignments": [f"{n.lineno}: {ast.unparse(t)} = {ast.unparse(n.value)}" for t, n in stored],
+        "returns": [ast.unparse(n.value)[:RETURN_CHARS] for n in nodes if isinstance(n, ast.Return) and n.value is not None],
+        "literals": once(n.value[:LITERAL_CHARS] for n in nodes if isinstance(n, ast.Constant) and isinstance(n.value, str) and n.value != ast.get_docstring(fn, clean=False))[:LITERALS],
+        "handlers": [f"{ast.unparse(h.type) if h.type else 'all'}{' silent' if len(h.body) == 1 and isinstance(h.body[0], ast.Pass) else ''}" for h in nodes if isinstance(h, ast.ExceptHandler)],
+        "environment": once(environment), "global_writes": once(t.id for t, _ in stored if isinstance(t, ast.Name) and t.id in shared),
+        "attributes": once(f"{'write' if isinstance(n.ctx, ast.Store) else 'read'} {dotted(n)}" for n in nodes if isinstance(n, ast.Attribute) and id(n) not in called and dotted(n))[:ATTRIBUTES],
+        "control_flow": [f"{n.lineno}: {type(n).__name__.lower()}" for n in nodes if isinstance(n, (ast.If, ast.For, ast.While, ast.Try, ast.With, ast.Match))],
+        "dependencies": once(f"{v} <- {u}" for t, n in stored for v in sorted(_names(t)) for u in sorted(_names(n.value) - {v})),
+    }
+
+
 def functions(source: str, path: str) -> list[dict]:
     """A row for each function decorated as a tool, prompt or resource."""
     out = []
-    for fn in ast.walk(ast.parse(source)):
+    tree = ast.parse(source)
+    imports = sorted({a.name if isinstance(n, ast.Import) else f"{n.module or '.' * n.level}.{a.name}" for n in ast.walk(tree) if isinstance(n, (ast.Import, ast.ImportFrom)) for a in n.names})
+    for fn in ast.walk(tree):
         if not isinstance(fn, (ast.FunctionDef, ast.AsyncFunctionDef)):
             continue
         mark = next(((d, n) for d in fn.decorator_list if (n := dotted(d)).rpartition(".")[2].lower() in KINDS), None)
@@ -108,7 +135,7 @@ def functions(source: str, path: str) -> list[dict]:
         out.append({
             "file": path, "name": given.get("name", fn.name), "line": fn.lineno, "kind": mark[1].rpartition(".")[2].lower(), "doc": ast.get_docstring(fn) or given.get("description"),
             "parameters": params, "calls": calls, "reaches_calls": sorted(reached), "reaches_returns": returns, "dead_stores": sorted(stored - used), "constants": json.dumps(known, default=str, sort_keys=True),
-            "complexity": complexity(fn), "has_file": any(p in c for c in low for p in FILES), "has_network": any(p in c for c in low for p in NETWORK),
+            "complexity": complexity(fn), **evidence(fn), "imports": imports, "has_dangerous_imports": bool(imports), "has_file": any(p in c for c in low for p in FILES), "has_network": any(p in c for c in low for p in NETWORK),
             "has_process": any(p in c for c in low for p in PROCESS), "has_eval": any(c in EVAL for c in calls), "error": None,
         })
     return out
