@@ -92,6 +92,17 @@ def expanded(c: Column, variables: dict[str, str], windows: bool = False) -> Col
     return c
 
 
+def expanded_as(c: Column, variables: dict[str, str], mode: str = "auto", platform: str = "linux") -> Column:
+    """Text with its variables replaced as a mode has it: off leaves it, linux and mac know $NAME and ${NAME} and a leading ~, windows %NAME%, auto what the platform
+    does."""
+    mode = platform if mode == "auto" else mode
+    if mode == "off":
+        return c
+    out = expanded(c, variables, mode == "windows")
+    home = variables.get("HOME")
+    return out if mode == "windows" or home is None else F.regexp_replace(out, r"^~(?=/|$)", home.replace("\\", "\\\\").replace("$", "\\$"))
+
+
 def capability(method: Column) -> Column:
     """tool, prompt or resource, by what a registering method is called; resource templates are resources."""
     m = F.lower(method)
@@ -108,9 +119,13 @@ SOURCE_FILES = r"\.(py|js|ts|jsx|tsx|mjs|cjs|go|java|kt|cs|rb|rs|php|swift|c|cpp
 
 
 def source_files(paths: DataFrame) -> DataFrame:
-    """paths (path, relative to the root) that are sources and lie in no cache, dependency or hidden folder, sorted."""
+    """paths (path, relative to the root; real: where it leads, relative too) that are sources, lie in no cache, dependency or hidden folder, and don't lead out of the
+    root, sorted."""
     skipped = r"(^|/)(\.[^/]+|__pycache__|node_modules)(/|$)"
-    return paths.filter(F.col("path").rlike(SOURCE_FILES) & ~F.col("path").rlike(skipped)).orderBy("path")
+    out = paths.filter(F.col("path").rlike(SOURCE_FILES) & ~F.col("path").rlike(skipped))
+    if "real" in paths.columns:
+        out = out.filter(F.col("real").isNull() | ~F.col("real").rlike(r"^(/|\.\.(/|$))"))
+    return out.orderBy("path")
 
 
 def prompt(parts: dict[str, tuple[Column, int]], head: str, nonce: str) -> Column:
