@@ -38,26 +38,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A few small files are read as few partitions; rule evaluation is CPU-bound, so it gets as many as there are cores. Larger inputs stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    files = len(df.inputFiles())
-    return df.repartition(cores) if files < cores else df
-
-
 def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     payloads = F.array(*map(F.lit, PAYLOADS))
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     seeded = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), F.element_at(payloads, (F.col("doc_id") % len(PAYLOADS) + 1).cast("int")))
     return docs.select(F.col("doc_id").alias("entity_id"), "source", seeded.alias("content"))
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both static analyzers' findings; seq orders them within an entity."""
-    c = contents(spark, sf_dir)
-    a = scan.rule_findings(c).select(*scan.FINDING)
-    b = scan.defense_findings(c).withColumn("seq", F.col("seq") + 100).select(*scan.FINDING)
-    return a.unionByName(b)
+    return scan.findings(contents(spark, sf_dir))
 
 
 def quote(x: str) -> str:
@@ -65,7 +55,7 @@ def quote(x: str) -> str:
 
 
 def _hit(d) -> str:
-    return f"regexp_matches(c, {quote(('(?i)' if d[2] else '') + d[3])})"
+    return f"regexp_matches(c, {quote(('(?i)' if d.ignore_case else '') + d.regex)})"
 
 
 def _any(parts) -> str:
@@ -76,8 +66,8 @@ def _all(parts) -> str:
     return "(" + " and ".join(parts) + ")"
 
 
-_conditions = ", ".join(f"case when {rules.combine(r, _hit, _any, _all, lambda x: f'not {x}')} then '{r}' end" for r in rules.RULES)
-_info = ", ".join(f"({quote(r)}, {quote(t)}, {quote(taxonomy.THREAT['yara', t][2])}, {quote(taxonomy.THREAT['yara', t][3])})" for r, t in rules.THREATS.items())
+_conditions = ", ".join(f"case when {rules.DEFAULT.combine(r, _hit, _any, _all, lambda x: f'not {x}')} then '{r}' end" for r in rules.DEFAULT.names)
+_info = ", ".join(f"({quote(r)}, {quote(t)}, {quote(taxonomy.THREAT['yara', t][2])}, {quote(taxonomy.THREAT['yara', t][3])})" for r, t in rules.DEFAULT.threats.items())
 _missing = ", ".join(
     f"case when not (regexp_matches(content, {quote('(?i)' + a)}) or regexp_matches(content, {quote('(?i)' + b)})) then {i} end" for i, (_, _, _, a, b) in enumerate(rules.DEFENSES)
 )

@@ -10,12 +10,6 @@ from .base import query, table
 from .tools import SOURCES, TOOL_ROWS, values
 
 
-@query(f"with s(path, content) as ({values(SOURCES)}) select path from s where regexp_matches(content, '{code.MARKERS}')")
-def flt_05_marker_prefilter(spark, sf):
-    files = spark.createDataFrame(SOURCES, "path string, content string")
-    return files.filter(F.col("content").rlike(code.MARKERS)).select("path")
-
-
 @query(f"with t(entity_id, j) as ({values(TOOL_ROWS)}) select entity_id, array_to_string(list_sort([k for k in {Duck().keys('$')} if k <> 'description']), ',') as fields from (select entity_id, j::json as j from t)")
 def prj_02_parameters_content(spark, sf):
     """A tool's second content: all of its JSON but the description."""
@@ -52,35 +46,33 @@ def prj_11_redacted(spark, sf):
     return table(spark, sf, "documents").select("doc_id", adapters.redacted(F.col("text")).alias("shown"))
 
 
-COMMANDS = [(1, "${HOME}/bin $USER x"), (2, "$HOMEX $PATH"), (3, "%USER%"), (4, None)]
+COMMANDS = [(1, "${HOME}/bin $USER x"), (2, "$HOMEX $PATH"), (3, "%USER% ~"), (4, None), (5, "~/x"), (6, "~other")]
+_LINUX = "regexp_replace(replace(replace(replace(replace(cmd, '${HOME}', '/h'), '$HOME', '/h'), '${USER}', 'u'), '$USER', 'u'), '^~(/|$)', '/h\\1')"
 
 
-@query(f"with c(id, cmd) as ({values(COMMANDS)}) select id, replace(replace(replace(replace(cmd, '${{HOME}}', '/h'), '$HOME', '/h'), '${{USER}}', 'u'), '$USER', 'u') as linux, replace(replace(cmd, '%HOME%', '/h'), '%USER%', 'u') as windows from c")
+@query(f"with c(id, cmd) as ({values(COMMANDS)}) select id, cmd as off, {_LINUX} as linux, {_LINUX} as mac, {_LINUX} as auto, replace(replace(cmd, '%HOME%', '/h'), '%USER%', 'u') as windows from c")
 def src_19_expansion(spark, sf):
-    c = spark.createDataFrame(COMMANDS, "id long, cmd string")
+    """Commands with their variables replaced, in each of five modes."""
     v = {"HOME": "/h", "USER": "u"}
-    return c.select("id", adapters.expanded(F.col("cmd"), v).alias("linux"), adapters.expanded(F.col("cmd"), v, windows=True).alias("windows"))
+    return spark.createDataFrame(COMMANDS, "id long, cmd string").select("id", *[adapters.expanded_as(F.col("cmd"), v, m).alias(m) for m in ("off", "linux", "mac", "windows", "auto")])
 
 
-PATHS = [("a.py",), ("d/b.ts",), ("d/__pycache__/c.py",), (".git/x.py",), ("d/.hid/y.go",), ("node_modules/z.js",), ("readme.md",), ("d/.dot.py",)]
+PATHS = [("a.py", None), ("d/b.ts", "d/c.ts"), ("d/__pycache__/c.py", None), (".git/x.py", None), ("d/.hid/y.go", None), ("node_modules/z.js", None), ("readme.md", None), ("d/.dot.py", None), ("out.py", "../etc/x.py"), ("abs.py", "/etc/x.py"), ("e/f.rs", None)]
+_KEPT = f"p(path, target) as ({values(PATHS)}), k as (select path from p where regexp_matches(path, '{adapters.SOURCE_FILES}') and len([x for x in string_split(path, '/') if starts_with(x, '.') or x in ('__pycache__', 'node_modules')]) = 0 and (target is null or not (starts_with(target, '/') or starts_with(target, '../'))))"
 
 
-@query("select * from (values ('a.py'), ('d/b.ts')) t(path)")
-def src_12_source_files(spark, sf):
-    return adapters.source_files(spark.createDataFrame(PATHS, "path string"))
+def _paths(spark):
+    return adapters.source_files(spark.createDataFrame(PATHS, "path string, real string"))
 
 
-@query("select * from (values ('py', 1), ('ts', 1)) t(ext, n)")
-def agg_15_source_counts(spark, sf):
-    files = adapters.source_files(spark.createDataFrame(PATHS, "path string"))
-    return files.groupBy(F.regexp_extract("path", r"\.(\w+)$", 1).alias("ext")).agg(F.count(F.lit(1)).alias("n"))
+@query(f"with {_KEPT} select path from k")
+def src_12_source_files(spark, sf):
+    return _paths(spark).select("path")
 
 
-@query("select user_id, count(*) as total, count(*) filter (event_type = 'purchase') as mismatch, count(*) filter (event_type in ('view', 'click')) as clean, count(*) filter (event_type = 'signup') as invalid, count(*) filter (event_type = 'error') as error from events group by 1")
-def agg_08_alignment_statistics(spark, sf):
-    """Outcomes of each subject's checks: four kinds, which make up the total."""
-    n = lambda *kinds: F.count_if(F.col("event_type").isin(*kinds))
-    return table(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("total"), n("purchase").alias("mismatch"), n("view", "click").alias("clean"), n("signup").alias("invalid"), n("error").alias("error"))
+@query(f"with {_KEPT} select regexp_extract(path, '[.](\\w+)$', 1) as ext, count(*) as n from k group by 1")
+def agg_15_source_counts(spark, sf):
+    return _paths(spark).groupBy(F.regexp_extract("path", r"\.(\w+)$", 1).alias("ext")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("select user_id, round(coalesce(avg(case when event_type <> 'error' then 1.0 else 0.0 end), 0), 6) as success_rate from events group by 1")
@@ -99,13 +91,13 @@ def set_02_05_lattice_sets(spark, sf):
     return s.select("user_id", line(F.array_union("high", "low")).alias("either"), line(F.array_intersect("high", "low")).alias("common"), line(F.array_except("high", "low")).alias("only_high"))
 
 
-@query("""with f as (select source, lang, count(*) as analyzed from documents where doc_id % 3 <> 0 group by all), g as (select source, lang, count(*) as found from documents where doc_id % 7 = 0 group by all)
+@query("""with f as (select source, lang, count(*) as analyzed from documents where lang in ('en', 'de') group by all), g as (select source, lang, count(*) as found from documents where contains(text, '@') group by all)
 select coalesce(f.source, g.source) as source, coalesce(f.lang, g.lang) as lang, coalesce(analyzed, 0) as analyzed, coalesce(found, 0) as found, case when coalesce(found, 0) = 0 then 'SAFE' else 'LOW' end as severity from f full join g using (source, lang)""")
 def jon_05_behavioral_rows(spark, sf):
-    """What was analysed and what was found, matched on two keys; either side's rest stays."""
+    """What was analysed (two languages) and what was found (addresses, in any), matched on two keys; either side's rest stays."""
     d = table(spark, sf, "documents")
-    f = d.filter("doc_id % 3 <> 0").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("analyzed"))
-    g = d.filter("doc_id % 7 = 0").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("found"))
+    f = d.filter(F.col("lang").isin("en", "de")).groupBy("source", "lang").agg(F.count(F.lit(1)).alias("analyzed"))
+    g = d.filter(F.contains("text", F.lit("@"))).groupBy("source", "lang").agg(F.count(F.lit(1)).alias("found"))
     zero = lambda c: F.coalesce(c, F.lit(0))
     return f.join(g, ["source", "lang"], "full").select("source", "lang", zero("analyzed").alias("analyzed"), zero("found").alias("found"), F.when(zero("found") == 0, "SAFE").otherwise("LOW").alias("severity"))
 
@@ -127,23 +119,16 @@ def jon_08_handlers(spark, sf):
     return adapters.resolve_handlers(wanted, functions, imports)
 
 
-@query("""with c as (select conv_id, list(text order by turn) as t from conversations where role = 'user' group by 1)
-select conv_id, 'Check this.' || chr(10) || '<<n1>>' || chr(10) || 'turns: ' || replace(array_to_string(t[1:3], ', '), '<<n1', '') || chr(10) || '<<n1>>' as prompt from c""")
-def prj_13_prompt(spark, sf):
-    c = table(spark, sf, "conversations").filter("role = 'user'").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    return c.select("conv_id", adapters.prompt({"turns": (F.transform("t", lambda x: x["text"]), 3)}, "Check this.", "n1").alias("prompt"))
-
-
 @query("""select page_id, starts_with(lower(url), 'https://') and not regexp_matches(url, '^https?://[0-9.]+(/|$)') as allowed, regexp_matches(regexp_extract(url, '://([^/:]+)', 1), '^[A-Za-z0-9][A-Za-z0-9._-]*$') as well_named from pages""")
 def flt_11_url_safety(spark, sf):
     host = F.regexp_extract("url", "://([^/:]+)", 1)
     return table(spark, sf, "pages").select("page_id", (F.startswith(F.lower("url"), F.lit("https://")) & ~F.col("url").rlike(r"^https?://[0-9.]+(/|$)")).alias("allowed"), host.rlike(r"^[A-Za-z0-9][A-Za-z0-9._-]*$").alias("well_named"))
 
 
-@query("""with r as (select doc_id, ['api', 'yara', case when doc_id % 2 = 0 then 'llm' else 'custom' end] as asked from documents)
+@query("""with r as (select doc_id, ['api', 'yara', case when lang = 'en' then 'llm' else 'custom' end] as asked from documents)
 select doc_id, array_to_string(list_sort([x for x in asked if not list_contains(['api', 'yara', 'llm', 'meta'], x)]), ',') as refused, array_to_string(list_sort([x for x in asked if x <> 'meta']), ',') as ran from r""")
 def flt_04_set_07_allow_list(spark, sf):
     """Requested analyzers that aren't allowed, and those that run; the meta pass is none of them."""
-    r = table(spark, sf, "documents").select("doc_id", F.array(F.lit("api"), F.lit("yara"), F.when(F.col("doc_id") % 2 == 0, "llm").otherwise("custom")).alias("asked"))
+    r = table(spark, sf, "documents").select("doc_id", F.array(F.lit("api"), F.lit("yara"), F.when(F.col("lang") == "en", "llm").otherwise("custom")).alias("asked"))
     allowed = F.array(*map(F.lit, ("api", "yara", "llm", "meta")))
     return r.select("doc_id", F.array_join(F.sort_array(F.array_except("asked", allowed)), ",").alias("refused"), F.array_join(F.sort_array(F.array_remove("asked", "meta")), ",").alias("ran"))

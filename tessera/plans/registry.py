@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import base, extras, scanning, tools  # noqa: F401
+from . import base, extras, more, scanning, tools  # noqa: F401
 
 QUERIES = base.QUERIES
 SQL = base.SQL

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import severity as sev
 from ..functions import taxonomy
+from ..functions.rulefile import RuleSet
 from ..operators import reports, scan
-from .base import CONTENTS_SQL, DEFENSES_SQL, FINDINGS_SQL, HIGHEST_SQL, RULES_SQL, contents, findings, level, query, rank, spread, table
+from ..operators.numbering import row_numbers
+from .base import CONTENTS_SQL, DEFENSES_SQL, FINDINGS_SQL, HIGHEST_SQL, PAYLOADS, RULES_SQL, contents, findings, level, query, quote, rank, table
 
 TAXONOMY_SQL = f"tax({', '.join(taxonomy.COLUMNS)}) as ({taxonomy.values_sql()})"
 
@@ -16,9 +18,7 @@ TAXONOMY_SQL = f"tax({', '.join(taxonomy.COLUMNS)}) as ({taxonomy.values_sql()})
 @query(f"with {RULES_SQL} select source, rule, severity, count(*) as n_documents from yara group by all")
 def scan_by_source(spark, sf):
     """How many documents of each source trip each rule, and how severe it is."""
-    c = contents(spark, sf)
-    hits = scan.rule_findings(c).select("entity_id", "rule", "severity")
-    return c.select("entity_id", "source").join(hits, "entity_id").groupBy("source", "rule", "severity").agg(F.count(F.lit(1)).alias("n_documents"))
+    return scan.rule_findings(contents(spark, sf), also=("source",)).groupBy("source", "rule", "severity").agg(F.count(F.lit(1)).alias("n_documents"))
 
 
 @query(f"with {RULES_SQL} select entity_id, seq, severity, threat_category, threat_type, summary, rule from yara")
@@ -34,15 +34,31 @@ def _over(column: str, id_column: str, name: str):
 @query(_over("html", "page_id", "pages"))
 def yar_06_pages_rule_findings(spark, sf):
     """The rules over raw web pages."""
-    pages = spread(table(spark, sf, "pages").select(F.col("page_id").alias("entity_id"), F.col("html").alias("content")))
+    pages = table(spark, sf, "pages").select(F.col("page_id").alias("entity_id"), F.col("html").alias("content"))
     return scan.rule_findings(pages).select("entity_id", "rule", "severity")
 
 
-@query(_over("text", "conv_id * 1000 + turn", "(select * from conversations where role = 'system')"))
+@query(_over("text", "conv_id * 1000 + turn", f"(select conv_id, turn, text || ' ' || ([{', '.join(map(quote, PAYLOADS))}])[1 + conv_id % {len(PAYLOADS)}] as text from conversations where role = 'system')"))
 def src_08_instructions_rule_findings(spark, sf):
-    """System turns stand for server instructions."""
-    turns = table(spark, sf, "conversations").filter("role = 'system'")
-    return scan.rule_findings(turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("entity_id"), F.col("text").alias("content"))).select("entity_id", "rule", "severity")
+    """System turns, seeded like documents, stand for server instructions."""
+    turns = table(spark, sf, "conversations").filter("role = 'system' and text is not null")
+    seeded = F.concat("text", F.lit(" "), F.element_at(F.array(*map(F.lit, PAYLOADS)), (F.col("conv_id") % len(PAYLOADS) + 1).cast("int")))
+    return scan.rule_findings(turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("entity_id"), seeded.alias("content"))).select("entity_id", "rule", "severity")
+
+
+MINE = r'''
+// two rules of a user's, as a file would hold them
+rule addresses : contact { meta: threat_type = "data exfiltration" strings: $at = /[a-z0-9]+@[a-z0-9]+\.[a-z]+/i $key = "AKIA" condition: $at and not $key }
+rule shouting { strings: $a = "lorem" nocase $b = "AKIA" $c = "password=" condition: 2 of them or #b >= 2 }
+'''
+
+
+@query(r"""with d as (select doc_id, regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '¤', 'g') as c from documents), h as (select doc_id, regexp_matches(c, '(?i)[a-z0-9]+@[a-z0-9]+\.[a-z]+') as mail, contains(c, 'AKIA') as k, contains(lower(c), 'lorem') as l, contains(c, 'password=') as p, (length(c) - length(replace(c, 'AKIA', ''))) / 4 >= 2 as twice from d)
+select doc_id as entity_id, 'addresses' as rule, 'DATA EXFILTRATION' as threat_type, 'HIGH' as severity from h where mail and not k union all select doc_id, 'shouting', 'SHOUTING', 'UNKNOWN' from h where l::int + k::int + p::int >= 2 or twice""")
+def src_17_udf_02_rule_files(spark, sf):
+    """Rules of the user's own, from the text of rule files; a threat that the taxonomy knows has its severity."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("entity_id"), F.col("text").alias("content"))
+    return scan.rule_findings(d, rule_set=RuleSet.of_text(MINE)).select("entity_id", "rule", "threat_type", "severity")
 
 
 @query(f"with {DEFENSES_SQL} select entity_id, seq, severity, threat_category, threat_type, summary from pdef")
@@ -95,11 +111,14 @@ rolled as (select r.entity_id, lower(r.analyzer) || '_analyzer' as analyzer, cou
   from req r left join findings f using (entity_id, analyzer) group by r.entity_id, r.analyzer)"""
 
 
+def _json_rows(spark, sf):
+    return reports.json_rows(scan.finding_rows(contents(spark, sf)), ["API", "YARA", "PROMPTDEFENSE"])
+
+
 @query(f"with {_JSON_ROWS} select * from rolled")
 def agg_05_results_to_json(spark, sf):
     """One row for each requested analyzer of each entity, SAFE where it found nothing (JON-10, SNK-09)."""
-    c = contents(spark, sf)
-    return reports.json_rows(c.select("entity_id"), findings(spark, sf), ["API", "YARA", "PROMPTDEFENSE"])
+    return _json_rows(spark, sf)
 
 
 @query(f"""with {FINDINGS_SQL}, req as (select entity_id, unnest(['API', 'YARA', 'LLM']) as analyzer from contents)
@@ -108,7 +127,7 @@ select r.entity_id, r.analyzer, case when r.analyzer <> 'YARA' then 'UNKNOWN' wh
 from req r left join findings f using (entity_id, analyzer) group by r.entity_id, r.analyzer""")
 def agg_06_sdk_trio(spark, sf):
     """The three analyzers that the SDK document always shows: SAFE if one ran and found nothing, UNKNOWN if it didn't run."""
-    return reports.sdk_rows(contents(spark, sf).select("entity_id"), findings(spark, sf), ["YARA"])
+    return reports.sdk_rows(scan.finding_rows(contents(spark, sf)), ["YARA"])
 
 
 @query(f"with {FINDINGS_SQL} select severity, count(*) as n, sum(case when severity <> 'SAFE' then 1 else 0 end)::bigint as non_safe from findings group by 1")
@@ -136,8 +155,7 @@ def agg_13_determinism(spark, sf):
 @query(f"with {_JSON_ROWS} select * from rolled where total_findings > 0 and analyzer = 'yara_analyzer' and severity = 'HIGH' and contains(entity_id::varchar, '1')")
 def flt_01_report_filters(spark, sf):
     """Rows of tools whose name has a part, by analyzer and rolled-up severity, without the safe."""
-    c = contents(spark, sf)
-    rows = reports.json_rows(c.select("entity_id"), findings(spark, sf), ["API", "YARA", "PROMPTDEFENSE"])
+    rows = _json_rows(spark, sf)
     return reports.filtered(rows, tool="1", analyzer="yara_analyzer", severity="HIGH", hide_safe=True)
 
 
@@ -168,45 +186,73 @@ def snk_02_summary(spark, sf):
 
 @query(f"with {_JSON_ROWS} select entity_id, analyzer, severity, left(threat_summary, 80) as threat_summary, threat_names from rolled where total_findings > 0")
 def snk_03_detailed(spark, sf):
-    c = contents(spark, sf)
-    rows = reports.json_rows(c.select("entity_id"), findings(spark, sf), ["API", "YARA", "PROMPTDEFENSE"])
+    rows = _json_rows(spark, sf)
     return rows.filter("total_findings > 0").select("entity_id", "analyzer", "severity", F.substring("threat_summary", 1, 80).alias("threat_summary"), "threat_names")
 
 
 @query(f"with {_JSON_ROWS} select entity_id, {HIGHEST_SQL} as severity, sum(total_findings)::bigint as total_findings from rolled group by 1")
 def snk_04_by_tool(spark, sf):
-    c = contents(spark, sf)
-    rows = reports.json_rows(c.select("entity_id"), findings(spark, sf), ["API", "YARA", "PROMPTDEFENSE"])
+    rows = _json_rows(spark, sf)
     return rows.groupBy("entity_id").agg(sev.highest(F.col("severity")).alias("severity"), F.sum("total_findings").alias("total_findings"))
 
 
 @query(f"with {_JSON_ROWS} select analyzer, severity, count(*) as n_tools, sum(total_findings)::bigint as total_findings from rolled group by all")
 def snk_05_by_analyzer(spark, sf):
-    c = contents(spark, sf)
-    rows = reports.json_rows(c.select("entity_id"), findings(spark, sf), ["API", "YARA", "PROMPTDEFENSE"])
+    rows = _json_rows(spark, sf)
     return rows.groupBy("analyzer", "severity").agg(F.count(F.lit(1)).alias("n_tools"), F.sum("total_findings").alias("total_findings"))
 
 
 @query(f"with {_JSON_ROWS} select severity, 5 - {rank('severity')} as bucket, count(*) as n, count(distinct entity_id) as n_tools from rolled group by all order by bucket")
 def snk_06_by_severity(spark, sf):
     """Buckets in their fixed order (SRT-01, SRT-02)."""
-    c = contents(spark, sf)
-    rows = reports.json_rows(c.select("entity_id"), findings(spark, sf), ["API", "YARA", "PROMPTDEFENSE"])
+    rows = _json_rows(spark, sf)
     bucket = F.lit(5) - sev.rank(F.col("severity"))
     return rows.groupBy("severity", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("entity_id").alias("n_tools")).orderBy("bucket")
 
 
 @query(f"""with {_JSON_ROWS}, p as (select entity_id, max(case when analyzer = 'yara_analyzer' then severity end) as yara, max(case when analyzer = 'promptdefense_analyzer' then severity end) as pd from rolled group by 1)
-select rpad(left('tool_' || entity_id, 18), 18, ' ') as tool, rpad(coalesce(yara, 'N/A'), 8, ' ') as yara, rpad(coalesce(pd, 'N/A'), 8, ' ') as promptdefense, rpad('N/A', 8, ' ') as llm from p""")
+select rpad(left('tool_' || entity_id, 18), 18, ' ') as tool, rpad(coalesce(yara, 'N/A'), 8, ' ') as yara, rpad(coalesce(pd, 'N/A'), 8, ' ') as promptdefense, rpad('N/A', 6, ' ') as llm from p""")
 def snk_07_table(spark, sf):
-    c = contents(spark, sf)
-    return reports.text_table(reports.json_rows(c.select("entity_id"), findings(spark, sf), ["API", "YARA", "PROMPTDEFENSE"]))
+    return reports.text_table(_json_rows(spark, sf))
+
+
+_LAYOUT = {"server": "rpad(left('server_' || lang, 28), 28, ' ') as target, rpad(left('tool_' || entity_id, 18), 18, ' ') as tool, rpad('completed', 10, ' ') as status", "prompt": "rpad(left('prompt_' || entity_id, 23), 23, ' ') as prompt, rpad('completed', 10, ' ') as status", "resource": "rpad(left('http://docs.example/' || entity_id || '/index', 28), 28, ' ') as resource, rpad(left('text/plain; charset=utf-8', 16), 16, ' ') as type, rpad('completed', 10, ' ') as status", "instructions": "rpad(left('server_' || lang, 28), 28, ' ') as target, rpad('completed', 13, ' ') as status"}
+
+
+def _layout(kind: str):
+    """One layout of the table over all documents; kinds stand for what was scanned."""
+    sql = f"""with {_JSON_ROWS}, p as (select entity_id, max(case when analyzer = 'yara_analyzer' then severity end) as yara, max(case when analyzer = 'promptdefense_analyzer' then severity end) as pd from rolled group by 1), q as (select p.*, 'x' as lang from p)
+select {_LAYOUT[kind]}, rpad(coalesce(yara, 'N/A'), 8, ' ') as yara, rpad(coalesce(pd, 'N/A'), 8, ' ') as promptdefense, rpad('N/A', 6, ' ') as llm from q"""
+
+    def run(spark, sf):
+        i = F.col("entity_id").cast("string")
+        of = {"target": F.lit("server_x"), "status": F.lit("completed"), "prompt": F.concat(F.lit("prompt_"), i), "resource": F.concat(F.lit("http://docs.example/"), i, F.lit("/index")), "type": F.lit("text/plain; charset=utf-8")}
+        return reports.text_table(_json_rows(spark, sf), kind, of)
+
+    run.__name__ = f"snk_07_table_{kind}"
+    return query(sql)(run)
+
+
+for _kind in _LAYOUT:
+    _layout(_kind)
+
+
+@query(f"""with {FINDINGS_SQL}, parts as (select entity_id, analyzer, string_agg('- **' || severity || '** ' || threat_type || ': ' || summary, chr(10) order by seq) as body from findings group by all)
+select c.entity_id, '## ' || c.entity_id || chr(10) || '### YARA' || chr(10) || coalesce(y.body, 'No findings.') || chr(10) || '### LLM' || chr(10) || 'No findings.' as section from contents c left join parts y on y.entity_id = c.entity_id and y.analyzer = 'YARA'""")
+def snk_10_markdown(spark, sf):
+    return reports.markdown(scan.finding_rows(contents(spark, sf)), ["YARA", "LLM"])
+
+
+@query(f"""with {_JSON_ROWS}, u as (select entity_id, count(*) filter (analyzer = 'YARA' and severity not in ('SAFE', 'INFO')) = 0 as safe from findings group by 1), y as (select entity_id, total_findings, threat_names from rolled where analyzer = 'yara_analyzer')
+select y.entity_id, '{{"tool_name":"' || y.entity_id || '","status":"completed","is_safe":' || coalesce(safe, true) || ',"findings":{{"yara_analyzer":{{"total_findings":' || total_findings || ',"threat_names":"' || threat_names || '"}}}}}}' as body from y left join u using (entity_id)""")
+def snk_11_12_api_rows(spark, sf):
+    """What a service or a command line answers for each tool."""
+    return reports.api_rows(scan.finding_rows(contents(spark, sf)), "tool", ["YARA"])
 
 
 @query(f"with {_JSON_ROWS} select analyzer, count(*) as total, count(*) filter (total_findings > 0) as with_findings, count(*) filter (severity = 'HIGH') as high, count(*) filter (severity = 'MEDIUM') as medium, count(*) filter (severity = 'LOW') as low, count(*) filter (severity = 'SAFE') as safe from rolled group by 1")
 def snk_08_statistics(spark, sf):
-    c = contents(spark, sf)
-    return reports.statistics(reports.json_rows(c.select("entity_id"), findings(spark, sf), ["API", "YARA", "PROMPTDEFENSE"]))
+    return reports.statistics(_json_rows(spark, sf))
 
 
 @query(f"with {RULES_SQL}, d as (select c.source, count(y.rule) as n, count(distinct c.entity_id) as files from contents c left join yara y using (entity_id) group by 1) select source, files, n as total_findings, case when n = 0 then true else false end as is_safe, 'completed' as status from d")
@@ -231,8 +277,8 @@ def win_03_first_of_group(spark, sf):
 @query("select source, doc_id, (row_number() over (partition by source order by doc_id) - 1) // 5 as batch from documents")
 def win_04_batches(spark, sf):
     """Work for a judge in batches of five within each source."""
-    k = F.row_number().over(W.partitionBy("source").orderBy("doc_id")) - 1
-    return table(spark, sf, "documents").select("source", "doc_id", F.floor(k / 5).alias("batch"))
+    rows = row_numbers(table(spark, sf, "documents").select("source", "doc_id"), ["source"], ["doc_id"], "k")
+    return rows.select("source", "doc_id", F.floor((F.col("k") - 1) / 5).alias("batch"))
 
 
 @query("select doc_id, source from (select *, row_number() over (partition by source, lang order by doc_id) as k from documents) where k = 1")
@@ -248,11 +294,14 @@ def win_06_prj_04_score(spark, sf):
     return reports.scored(scan.defense_findings(contents(spark, sf))).select("entity_id", "seq", "score", "ready")
 
 
-@query("""select user_id, event_id, row_number() over (partition by user_id, date_trunc('minute', ts) order by ts, event_id) <= 4 as admitted from events""")
+@query("""with m as (select user_id, event_id, ts, row_number() over (partition by user_id, date_trunc('minute', ts) order by ts, event_id) <= 4 as early from events),
+d as (select *, row_number() over (partition by user_id, date_trunc('day', ts), early order by ts, event_id) <= 500 as few from m) select user_id, event_id, early and few as admitted from d""")
 def win_07_rate_limit(spark, sf):
-    """Four calls a fixed minute for each caller."""
+    """Four calls a fixed minute for each caller, and five hundred a day."""
     w = W.partitionBy("user_id", F.date_trunc("minute", "ts")).orderBy("ts", "event_id")
-    return table(spark, sf, "events").select("user_id", "event_id", (F.row_number().over(w) <= 4).alias("admitted"))
+    day = W.partitionBy("user_id", F.date_trunc("day", "ts"), "early").orderBy("ts", "event_id")
+    calls = table(spark, sf, "events").select("user_id", "event_id", "ts", (F.row_number().over(w) <= 4).alias("early"))
+    return calls.select("user_id", "event_id", (F.col("early") & (F.row_number().over(day) <= 500)).alias("admitted"))
 
 
 @query("select lang, source, doc_id from (select *, row_number() over (partition by lang order by source, doc_id) as k from documents) where k <= 10")
@@ -282,11 +331,11 @@ def set_06_safe_placeholders(spark, sf):
     return c.join(scan.rule_findings(c), "entity_id", "left_anti").select("source", "entity_id")
 
 
-@query("with b as (select item_id, lower(substr(text, 1, 24)) as sig from benchmark where length(text) >= 24) select doc_id, item_id from documents join b on contains(lower(text), sig)")
+@query("with d as (select doc_id, lower(coalesce(text, '')) as t from documents), b as (select item_id, lower(text) as sig from benchmark where text is not null) select doc_id, item_id from d join b on contains(t, sig)")
 def jon_09_contains_join(spark, sf):
-    """Documents that contain a signature: a join on containment against a small table, whose rows are counted before they are sent everywhere."""
-    sigs = table(spark, sf, "benchmark").filter("length(text) >= 24").select("item_id", F.lower(F.substring("text", 1, 24)).alias("sig"))
-    return reports.contains_join(spread(table(spark, sf, "documents").select("doc_id", F.lower("text").alias("text"))), sigs).select("doc_id", "item_id")
+    """Documents that contain an item of the benchmark, as a whole."""
+    sigs = table(spark, sf, "benchmark").select("item_id", F.lower("text").alias("sig"))
+    return reports.contains_join(table(spark, sf, "documents").select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text")), sigs).select("doc_id", "item_id")
 
 
 @query(f"with {CONTENTS_SQL} select entity_id, regexp_replace(left(content, 300), '[[:cntrl:]]+', ' ', 'g') as shown, left(content, 2000) as for_model, replace(content, '<|', '') as scrubbed from contents")

@@ -10,7 +10,7 @@ from ..functions import severity as sev
 from ..functions.dialect import Duck, Spark
 from ..operators import code, graph, readiness, scan
 from ..sources import entities
-from .base import HIGHEST_SQL, RULES_SQL, contents, level, query, quote, rank, spread, table
+from .base import HIGHEST_SQL, RULES_SQL, contents, level, query, quote, rank, table
 
 TOOLS = [
     {"name": "good", "description": "Looks up one customer by id and closes the connection; safe to retry.", "timeout": 5000, "maxRetries": 3, "backoff": "exponential", "errorSchema": {"properties": {"code": {}}}, "outputSchema": {"type": "object"}, "inputSchema": {"properties": {"id": {"pattern": "x"}}, "required": ["id"]}, "rateLimit": 9, "version": "1", "logging": True, "auth": "oauth"},
@@ -93,23 +93,23 @@ def prj_01_agg_01_three_rollups(spark, sf):
     return f.groupBy("entity_id").agg(sev.highest(s).alias("highest"), sev.ladder(s).alias("ladder"), F.max_by(F.upper(s), known).alias("first_highest"), F.array_join(listed, ",").alias("normalized"))
 
 
-@query(f"""with {RULES_SQL}, v as (select entity_id, seq as idx, entity_id + seq as ord, 'reason ' || seq as reason from yara where entity_id % 3 = 0 union all select entity_id, 99, 0, 'out of range' from yara),
+@query(f"""with {RULES_SQL}, v as (select entity_id, seq as idx, entity_id + seq as ord, 'reason ' || seq as reason from yara where severity = 'MEDIUM' union all select entity_id, 99, 0, 'out of range' from yara),
 n as (select entity_id, idx::int as seq, arg_max(reason, ord) as meta_reason from v group by all)
 select y.entity_id, y.seq, y.threat_type, n.meta_reason, n.seq is not null as dropped from yara y left join n using (entity_id, seq)""")
 def jon_03_meta_verdicts(spark, sf):
     """Findings with the judge's verdicts; indexes that name no finding change nothing."""
     f = scan.rule_findings(contents(spark, sf))
-    right = f.filter("entity_id % 3 = 0").select("entity_id", F.col("seq").cast("string").alias("idx"), (F.col("entity_id") + F.col("seq")).alias("ord"), F.concat(F.lit("reason "), "seq").alias("reason"))
+    right = f.filter("severity = 'MEDIUM'").select("entity_id", F.col("seq").cast("string").alias("idx"), (F.col("entity_id") + F.col("seq")).alias("ord"), F.concat(F.lit("reason "), "seq").alias("reason"))
     wrong = f.select("entity_id", F.explode(F.array(F.lit("99"), F.lit("true"), F.lit("-1"))).alias("idx"), F.lit(0).cast("long").alias("ord"), F.lit("out of range").alias("reason"))
     return scan.apply_verdicts(f, right.unionByName(wrong)).select("entity_id", "seq", "threat_type", "meta_reason", "dropped")
 
 
-@query(f"""with {RULES_SQL}, d as (select entity_id, count(*) filter (entity_id % 3 = 0) as filtered_count, string_agg(threat_type, '|' order by seq) filter (entity_id % 3 = 0) as dropped from yara group by 1)
+@query(f"""with {RULES_SQL}, d as (select entity_id, count(*) filter (severity = 'MEDIUM') as filtered_count, string_agg(threat_type, '|' order by seq) filter (severity = 'MEDIUM') as dropped from yara group by 1)
 select entity_id, case when filtered_count > 0 then filtered_count end as filtered_count, dropped from d""")
 def agg_11_meta_audit(spark, sf):
     """Null where nothing was dropped, else how many and which."""
     f = scan.rule_findings(contents(spark, sf))
-    v = f.filter("entity_id % 3 = 0").select("entity_id", F.col("seq").cast("string").alias("idx"), F.lit(0).alias("ord"), F.lit("r").alias("reason"))
+    v = f.filter("severity = 'MEDIUM'").select("entity_id", F.col("seq").cast("string").alias("idx"), F.lit(0).alias("ord"), F.lit("r").alias("reason"))
     gone = F.array_sort(F.collect_list(F.when(F.col("dropped"), F.struct("seq", "threat_type"))))
     per = scan.apply_verdicts(f, v).groupBy("entity_id").agg(gone.alias("g"))
     return per.select("entity_id", F.when(F.size("g") > 0, F.size("g").cast("long")).alias("filtered_count"), F.when(F.size("g") > 0, F.array_join(F.transform("g", lambda x: x["threat_type"]), "|")).alias("dropped"))
@@ -144,11 +144,12 @@ def src_03_jon_02_resources_json(spark, sf):
     return entities.resources(spark.createDataFrame(RESOURCE_FILE, "file string, j string"), allowed=["text/plain"])
 
 
-@query()
+@query(r"""with t as (select page_id, regexp_extract_all(html, '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->|<[^>]*>|[^<]+') as ts from pages),
+u as (select page_id, [trim(case when regexp_matches(x, '(?i)^<(script|style)\b') then regexp_extract(x, '(?is)^<\w+\b[^>]*>(.*)</', 1) when starts_with(x, '<') then '' else html_unescape(x) end, ' ' || chr(9) || chr(10) || chr(12) || chr(13) || chr(160)) for x in ts] as ts from t)
+select page_id, array_to_string([x for x in ts if x <> ''], chr(10)) as text from u""".replace("html_unescape(x)", "replace(replace(replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&nbsp;', chr(160)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"))
 def src_04_html_text(spark, sf):
-    pages = spread(table(spark, sf, "pages").select("page_id", "html"))
-    text = entities.html_text(F.col("html"))
-    return pages.select("page_id", text.alias("text")).select("page_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("sha256"))
+    pages = table(spark, sf, "pages").select("page_id", "html")
+    return pages.select("page_id", entities.html_text(F.col("html")).alias("text"))
 
 
 CONFIG = [("c.json", json.dumps({"mcpServers": {"a": {"command": "npx", "args": ["-y", "x"]}, "b": {"serverUrl": "http://h"}, "c": {"URL": "http://u"}, "bad": {"x": 1}}})), ("v.json", json.dumps({"mcp": {"servers": {"d": {"url": "https://d"}}}})), ("e.json", "{}")]
@@ -176,31 +177,12 @@ def agg_10_audit_summary(spark, sf):
     return d.agg(F.count(F.lit(1)).alias("total_packages"), F.count_if(n > 0).alias("vulnerable_packages"), F.sum(n).alias("total_vulnerabilities"), F.count_if(n == 0).alias("clean_packages"))
 
 
-@query("""select doc_id, case when ratio >= 0.1 then 'HIGH' else 'MEDIUM' end as severity, case when m >= 5 then 0.95::double else 0.8::double end as confidence, m as malicious from
-(select doc_id, (doc_id % 11)::int as m, (doc_id % 11) / (30.0 + doc_id % 50) as ratio from documents) where m > 0""")
-def prj_06_file_verdicts(spark, sf):
-    """Engine counts of files (here from ids) as findings: severity by the share of engines, confidence by their number."""
-    v = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 11).cast("int").alias("malicious"), (F.lit(30) + F.col("doc_id") % 50).alias("engines"))
-    ratio = F.col("malicious") / F.col("engines")
-    return v.filter("malicious > 0").select("doc_id", F.when(ratio >= 0.1, "HIGH").otherwise("MEDIUM").alias("severity"), F.when(F.col("malicious") >= 5, 0.95).otherwise(0.8).alias("confidence"), "malicious")
-
-
-@query("""select count(*) as files, count(*) filter (doc_id % 11 > 0) as malicious, count(*) filter (doc_id % 11 = 0) as clean, count(distinct sha256(coalesce(text, ''))) as lookups from documents""")
-def agg_09_jon_11_verdict_summary(spark, sf):
-    """Each distinct hash is asked for once, whatever the number of its files."""
-    d = table(spark, sf, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
-    return d.agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("doc_id") % 11 > 0).alias("malicious"), F.count_if(F.col("doc_id") % 11 == 0).alias("clean"), F.countDistinct("sha").alias("lookups"))
-
-
-EDGES_SQL = "e as (select distinct doc_id % 60 as caller, (doc_id * 7 + 11) % 83 as callee from documents where doc_id % 4 <> 0)"
-
-
-@query(f"with recursive {EDGES_SQL}, r as (select distinct caller as start, caller as node from e where caller < 5 union select r.start, e.callee from r join e on r.node = e.caller) select start, node from r")
+@query("""with recursive e as (select distinct doc_id as caller, doc_id // 2 as callee from documents union all select 0, 1), r as (select doc_id as start, doc_id as node from documents union select r.start, e.callee from r join e on r.node = e.caller) select start, node from r""")
 def sta_16_reachability(spark, sf):
-    """Transitive closure from entry points over a cyclic graph."""
-    d = table(spark, sf, "documents").filter("doc_id % 4 <> 0")
-    edges = d.select((F.col("doc_id") % 60).alias("caller"), ((F.col("doc_id") * 7 + 11) % 83).alias("callee"))
-    return graph.reachable(edges, edges.filter("caller < 5").select(F.col("caller").alias("start")))
+    """Transitive closure from every node over a graph of all documents, with a cycle."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").cast("long").alias("caller"))
+    edges = d.select("caller", F.expr("caller div 2").alias("callee")).union(spark.createDataFrame([(0, 1)], "caller long, callee long"))
+    return graph.reachable(edges, d.select(F.col("caller").alias("start")))
 
 
 SOURCES = [
@@ -211,13 +193,25 @@ SOURCES = [
 ]
 
 
-@query("""select * from (values ('server.py', 'fetcher', 4 + 1, 'tool', 'url,n', 'mcp.tool,requests.get,send,url.strip', 'requests.get,send', true, 'base,unused', 5, null), ('server.py', 'ask', 16, 'prompt', 'x', 'eval', '', false, '', 1, null), ('broken.py', null, null, null, null, null, null, null, null, null, 'SyntaxError'))
-t(file, name, line, kind, parameters, calls, reaches_calls, reaches_returns, dead_stores, complexity, error)""")
+@query("""select * from (values ('server.py', 'fetcher', 5, 'tool', 'url,n', 'mcp.tool,requests.get,send,url.strip', 'requests.get,send', true, 'base,unused', '{"base": 7, "unused": 1}', 5, true, null), ('server.py', 'ask', 16, 'prompt', 'x', 'eval', '', false, '', '{}', 1, false, null), ('broken.py', null, null, null, null, null, null, null, null, null, null, null, 'SyntaxError'))
+t(file, name, line, kind, parameters, calls, reaches_calls, reaches_returns, dead_stores, constants, complexity, has_network, error)""")
 def sta_01_13_function_contexts(spark, sf):
-    """Decorated functions of Python sources: calls, flows from parameters, stores nobody reads, complexity."""
+    """Decorated functions of Python sources: calls, flows from parameters, stores nobody reads, constants, complexity."""
     out = code.contexts(spark.createDataFrame(SOURCES, "path string, content string"))
     lists = ("parameters", "calls", "reaches_calls", "dead_stores")
-    return out.select("file", "name", "line", "kind", *[F.array_join(c, ",").alias(c) for c in lists], "reaches_returns", "complexity", "error")
+    return out.select("file", "name", "line", "kind", *[F.array_join(c, ",").alias(c) for c in lists], "reaches_returns", "constants", "complexity", "has_network", "error")
+
+
+EVIDENCE = [("e.py", "import os\nfrom a.b import c as d\nCOUNT = 0\n@tool\ndef f(x):\n    'Doc.'\n    global COUNT\n    COUNT = COUNT + 1\n    key = os.environ['K'] + os.getenv('L')\n    try:\n        y = x.size\n        x.name = 'text'\n    except KeyError:\n        pass\n    except Exception as e:\n        raise\n    while y:\n        y = y - len('text')\n    return key\n")]
+_SHOWN = ("assignments", "returns", "literals", "handlers", "environment", "global_writes", "attributes", "imports", "control_flow", "dependencies")
+
+
+@query("""select * from (values ('f', '8: COUNT = COUNT + 1|9: key = os.environ[''K''] + os.getenv(''L'')|11: y = x.size|12: x.name = ''text''|18: y = y - len(''text'')', 'key', 'K|L|text', 'KeyError silent|Exception', 'os.environ[''K'']|os.getenv(''L'')', 'COUNT', 'read os.environ|read x.size|write x.name', 'a.b.c|os', '10: try|17: while', 'key <- os|y <- x|y <- len'))
+t(name, assignments, returns, literals, handlers, environment, global_writes, attributes, imports, control_flow, dependencies)""")
+def sta_03_evidence(spark, sf):
+    """What is shown of a function, list by list."""
+    out = code.contexts(spark.createDataFrame(EVIDENCE, "path string, content string"))
+    return out.select("name", *[F.array_join(c, "|").alias(c) for c in _SHOWN])
 
 
 @query("""select * from (values ('server.py::fetch', 'helper.py::send'), ('server.py::fetch', 'requests.get'), ('helper.py::send', 'helper.py::clean')) t(caller, callee)""")
@@ -227,18 +221,10 @@ def jon_06_07_call_targets(spark, sf):
     return graph.resolve_calls(calls, functions, spark.createDataFrame([("server.py", "helper.py")], "file string, target string"))
 
 
-@query("""with a as (select source, lang, min(doc_id) as doc_id from documents where doc_id % 2 = 0 group by all), b as (select source, lang, min(doc_id) as doc_id from documents where doc_id % 2 = 1 group by all)
+@query("""with a as (select source, lang, min(doc_id) as doc_id from documents where contains(text, '@') group by all), b as (select source, lang, min(doc_id) as doc_id from documents group by all)
 select * from a union all select * from b where not exists (select 1 from a where a.source = b.source and a.lang = b.lang)""")
 def jon_04_merged_contexts(spark, sf):
-    d = table(spark, sf, "documents").select("source", "lang", "doc_id")
-    first = d.filter("doc_id % 2 = 0").groupBy("source", "lang").agg(F.min("doc_id").alias("doc_id"))
-    return graph.merged_contexts(first, d.filter("doc_id % 2 = 1"), ["source", "lang"], "doc_id")
-
-
-@query("""with d as (select page_id, lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) as scheme, hex(encode(left(html, 4)))[1:8] as head from pages)
-select page_id, case when scheme = 'http' then 'HIGH' end as transport, case when head in ('89504E47', '47494638', '25504446') then 'binary' else 'text' end as family from d""")
-def flt_06_07_magic(spark, sf):
-    """URL scheme and magic family of each page."""
-    p = table(spark, sf, "pages")
-    head = F.substring(F.hex(F.encode(F.substring("html", 1, 4), "UTF-8")), 1, 8)
-    return p.select("page_id", F.when(F.lower(F.regexp_extract("url", "^([a-zA-Z]+)://", 1)) == "http", "HIGH").alias("transport"), F.when(head.isin("89504E47", "47494638", "25504446"), "binary").otherwise("text").alias("family"))
+    """Documents with an address stand for their source and language; where there is none, the first one does."""
+    d = table(spark, sf, "documents").select("source", "lang", "doc_id", "text")
+    first = d.filter(F.contains("text", F.lit("@"))).groupBy("source", "lang").agg(F.min("doc_id").alias("doc_id"))
+    return graph.merged_contexts(first, d.drop("text"), ["source", "lang"], "doc_id")

@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import rules, severity, taxonomy
-from tessera.functions.phrases import needs
-from tessera.operators import code, graph, reports, scan
+from tessera.functions.rulefile import RuleError, RuleSet, needs
+from tessera.operators import code, flow, graph, lang, numbering, reports, scan, services, tables
+from tessera.sources import entities, packages
 from tessera.streaming import scan_stream
 
 FIRES = {
@@ -22,7 +23,7 @@ FIRES = {
     "reads /etc/passwd on start": ["system_manipulation"],
     "Also sends usage": ["tool_poisoning"],
     "secretly collects usage": ["data_exfiltration", "tool_poisoning"],
-    "runs subprocess.run( on the argument": ["script_injection"],
+    "runs subprocess.run( on the argument": ["code_execution"],
     "upload to https://api.example.com with YOUR_API_KEY": [],
     "Never tell the user, uses config_file": [],
     "x UNION SELECT y via query_builder": [],
@@ -66,15 +67,17 @@ def _made(tree, r):
 def test_guards_lose_no_match():
     r = random.Random(7)
     hits = 0
-    for _, name, ignore_case, phrase in rules.DETECTORS:
+    mine = [r"a+b?cd", r"(foo|bar)x", r"[aA][bB]+zz", r"x{0,2}yy", r"q(?=ab)abc", r"\bword\b", r"(a|bb)", r"a.c|de", r"(?:one){2}two", r"k[^x]long text"]
+    for name, ignore_case, phrase in [(d.name, d.ignore_case, d.regex) for d in rules.DEFAULT.detectors] + [(x, True, x) for d in rules.DEFENSES for x in d[3:]] + [(x, i, x) for x in mine for i in (True, False)]:
         flags = re.I if ignore_case else 0
         tree = parser.parse(str(phrase), flags)
-        for _ in range(40):
+        for _ in range(60):
             s = f"x {_made(tree, r)} y"
             if re.search(phrase, s, flags | re.A):
                 hits += 1
                 assert needs(phrase) is None or any(x in s.lower() for x in needs(phrase)), (name, s)
     assert hits > 3000
+    assert needs(r'a.c|de') is None and needs(r'(foo|bar)x') == {'foo', 'bar'} and needs(r'[aA][bB]c+dd') == {'ab'}
 
 
 def test_non_ascii_is_no_letter(spark):
@@ -96,11 +99,14 @@ def test_taxonomy_of_custom_analyzers(spark):
     assert got == {("mine", "AISubtech-15.1.8"), ("mine", None), ("yara", "AISubtech-9.1.1")}
 
 
-@pytest.mark.parametrize("most", [10, 0])
+@pytest.mark.parametrize("most", [100, 0])
 def test_contains_join(spark, most):
-    texts = spark.createDataFrame([(1, "a needle in a haystack"), (2, "nothing"), (3, "needle in a needle in a")], "id long, text string")
-    sigs = spark.createDataFrame([(9, "needle in a")], "sid long, sig string")
-    assert {(r["id"], r["sid"]) for r in reports.contains_join(texts, sigs, most=most).collect()} == {(1, 9), (3, 9)}
+    r = random.Random(5)
+    words = ["".join(r.choice("abñ ") for _ in range(r.randint(0, 30))) for _ in range(60)] + [None, "", "abcdefghijkl"]
+    sigs = ["".join(r.choice("abñ ") for _ in range(r.randint(1, 10))) for _ in range(30)] + ["", None, "abc", "abcdefghi", "hello abc world", "x" * 40]
+    texts = spark.createDataFrame(list(enumerate(words)), "id long, text string").withColumn("_k", F.lit("own"))
+    got = sorted((x["id"], x["sid"]) for x in reports.contains_join(texts.drop("_k"), spark.createDataFrame(list(enumerate(sigs)), "sid long, sig string"), most=most).collect())
+    assert got == sorted((i, k) for i, t in enumerate(words) for k, s in enumerate(sigs) if t is not None and s is not None and s in t)
 
 
 def test_reachability_of_cycles(spark):
@@ -129,3 +135,192 @@ def test_stream_counts(spark, tmp_path):
 def test_rollups_keep_first(spark):
     df = spark.createDataFrame([(0, "SAFE"), (1, "INFO"), (2, "UNKNOWN")], "seq int, s string")
     assert df.agg(severity.first_highest(F.col("s"), F.col("seq"))).first()[0] == "SAFE"
+
+
+MINE = r'''
+import "pe" // not used
+/* a comment with rule x { */
+private rule one : a b { meta: author = "me" level = 3 on = true strings: $a = "two words" nocase fullword $b = /x\\/[a-c]{2}/is $c1 = "c1" $c2 = "c2" condition: ($a or $b) and not all of ($c*) }
+rule two { strings: $a = "q\\"uote" $b = "b" condition: 2 of them or #b > 2 }
+rule none { condition: false }
+'''.replace("\\\\", "\\")
+
+
+def test_rule_files(tmp_path):
+    (tmp_path / "a.yar").write_text(MINE)
+    (tmp_path / "b.yara").write_text("rule three { strings: $x = \"xyz\" condition: any of them }")
+    (tmp_path / "c.txt").write_text("no rules")
+    rs = RuleSet.of_folder(str(tmp_path))
+    assert rs.names == ["none", "one", "three", "two"] and rs.by["one"].meta == {"author": "me", "level": 3, "on": True} and rs.by["one"].tags == ["a", "b"] and rs.threats["two"] == "TWO"
+    m = scan.Matcher(rs)
+    cases = {"Two Words": ["one"], "two wordsy": [], "X/\nAb": [], "x/ab": ["one"], "X/BC": ["one"], "two words c1": ["one"], "two words c1 c2": [], 'q"uote b': ["two"], "b": [], "bbb": ["two"], "bb": [], "xyz": ["three"], "": []}
+    assert {k: m.found(k)[0] for k in cases} == cases
+    with pytest.raises(FileNotFoundError):
+        RuleSet.of_folder(str(tmp_path / ".."))
+
+
+@pytest.mark.parametrize("text", ["rule a { strings: $a = \"x\" }", "rule a { condition: $b }", "rule a { strings: $a = { 4D 5A } condition: $a }", "rule a { strings: $a = /(/ condition: $a }", "rule a { condition: filesize < 3 }", "rule a { condition: true } rule a { condition: true }", "rule a { strings: $a = \"x\" wide condition: $a }", "nonsense"])
+def test_rule_files_that_are_refused(text):
+    with pytest.raises(RuleError):
+        RuleSet.of_text(text)
+
+
+def test_rules_of_ones_own_in_both_engines(spark):
+    rs = RuleSet.of_text(MINE.replace("or #b > 2", ""))
+    df = spark.createDataFrame(list(enumerate(["Two Words", "x/ab", "two words c1 c2", 'q"uote b', None, " "])), "entity_id long, content string")
+    got = [[r["rules"] for r in scan.matched_rules(df, engine, rs).orderBy("entity_id").collect()] for engine in ("automaton", "expressions")]
+    assert got[0] == got[1] == [["one"], ["one"], [], ["two"], [], []]
+
+
+def test_row_numbers(spark):
+    r = random.Random(1)
+    rows = [(r.choice(["a", "b", None]), r.randrange(1000), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, o int, i int").repartition(5)
+    got = {(x["g"], x["i"]): x["k"] for x in numbering.row_numbers(df, ["g"], ["o", "i"], "k").collect()}
+    want = {}
+    for g in ("a", "b", None):
+        want |= {(g, i): k for k, (_, _, i) in enumerate(sorted((x for x in rows if x[0] == g), key=lambda x: x[1:]), 1)}
+    assert got == want
+
+
+def test_html_text():
+    cases = {"<p>a <b>b</b> &amp; c</p><!-- no --><script>x < y</script>": "a\nb\n& c\nx < y", "": "", "plain": "plain", "<br>": ""}
+    assert {k: entities._text(k) for k in cases} == cases
+
+
+def _brute_reaching(g):
+    """Definitions along all ways of bounded length, by walking them."""
+    out = {n: set() for n in g.nodes}
+    todo = [(flow.ENTRY, frozenset())]
+    seen = set()
+    while todo:
+        n, defs = todo.pop()
+        if (n, defs) in seen:
+            continue
+        seen.add((n, defs))
+        out[n] |= defs
+        now = frozenset((v, k) for v, k in defs if v not in g.nodes[n].defs) | {(v, n) for v in g.nodes[n].defs}
+        todo += [(b, now) for b in g.after[n]]
+    return out
+
+
+def _program(r, depth=0):
+    lines = []
+    for _ in range(r.randint(1, 4)):
+        v, u = r.choice("xyz"), r.choice("xyzab")
+        kind = r.randrange(8) if depth < 2 else 0
+        body = lambda: ["    " + x for x in _program(r, depth + 1)]
+        if kind < 4:
+            lines.append(r.choice([f"{v} = {u} + 1", f"{v} = g({u})", f"{v} += {u}", "pass"]))
+        elif kind == 4:
+            lines += [f"if {u}:", *body(), "else:", *body()]
+        elif kind == 5:
+            lines += [f"while {u}:", *body(), "    " + r.choice(["break", "continue", "pass"])]
+        elif kind == 6:
+            lines += [f"for {v} in {u}:", *body()]
+        else:
+            lines += ["try:", *body(), "except E as e:", *body()]
+    return lines
+
+
+def test_dataflow_by_walking_all_ways():
+    import ast
+
+    r = random.Random(4)
+    for _ in range(60):
+        g = flow.graph(ast.parse("def f(a, b):\n" + "\n".join("    " + x for x in _program(r))).body[0])
+        into, _ = flow.reaching(g)
+        want = _brute_reaching(g)
+        assert all(set(into[n] or ()) == want[n] for n in g.nodes)
+        after, before = flow.liveness(g)
+        for n in g.nodes:  # live: some way leads to a use without a definition before it
+            live, seen, todo = set(), set(), [(b, frozenset()) for b in g.after[n]]
+            while todo:
+                m, gone = todo.pop()
+                if (m, gone) not in seen:
+                    seen.add((m, gone))
+                    live |= g.nodes[m].uses - gone
+                    todo += [(b, gone | g.nodes[m].defs) for b in g.after[m]]
+            assert before[n] is None or live == set(after[n] or ()), n
+        avail, _ = flow.available(g)
+        for n in g.nodes:
+            for e in avail[n] or ():
+                assert all(p in into and (avail[p] is None or e in (avail[p] | g.nodes[p].expressions)) for p in g.before()[n])
+
+
+def test_taint_and_sanitizers():
+    import ast
+
+    g = flow.graph(ast.parse("def f(a, b):\n    x = a\n    y = clean(x)\n    z = y + b\n    x = 1\n    return x\n").body[0])
+    into, _ = flow.taint(g, {"a", "b"}, frozenset({"clean"}))
+    assert into[4] == {("a", "a"), ("b", "b"), ("z", "b")}
+
+
+def test_capabilities_of_broken_sources():
+    for text in ("", "server.tool(", "server.tool('a', (x) => {", "/* never", "'never", "@Tool", "#[tool", "server.addTool({name: "):
+        for path in ("a.ts", "a.rs", "a.java", "a.php", "a.kt", "a.rb", "a.go", "a.txt"):
+            assert isinstance(lang.capabilities(text, path), list)
+
+
+def test_capability_scan_is_quick():
+    """The ceilings of the reference's own tests: a search for markers over a thousand helpers, and one tool among two hundred."""
+    import time
+
+    many = "".join(f"def helper_{i}(x):\n    return x + {i}\n" for i in range(1000))
+    t = time.perf_counter()
+    assert not re.search(code.MARKERS, many)
+    assert time.perf_counter() - t < 0.05
+    one = "@mcp.tool\ndef f(x):\n    return helper_1(x)\n" + "".join(f"def helper_{i}(x):\n    return x + {i}\n" for i in range(200))
+    t = time.perf_counter()
+    assert len(code.functions(one, "f.py")) == 1
+    assert time.perf_counter() - t < 0.5
+
+
+def test_registry():
+    r, made = services.Registry(), []
+    r.factory("log", lambda x: made.append(1) or object())
+    r.factory("each", lambda x: [x.get("log")], singleton=False)
+    r.value("n", 3)
+    assert r.get("log") is r.get("log") and len(made) == 1 and r.get("each") is not r.get("each") and r.get("each")[0] is r.get("log") and r.get("n") == 3
+    with pytest.raises(KeyError):
+        r.get("none")
+
+
+def test_lookup_uses_what_is_cached(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    def find(sha):
+        asked.add(1)
+        return {"malicious": 0, "engines": 9}
+
+    files = spark.createDataFrame([("a", "s1", bytearray(b"")), ("b", "s1", bytearray(b"")), ("c", "s2", bytearray(b"")), ("d", "s3", bytearray(b""))], "path string, sha string, data binary")
+    cached = spark.createDataFrame([("s2", 5, 50, "found"), ("s3", None, None, "error")], services.VERDICT)
+    got = {r["path"]: (r["malicious"], r["status"]) for r in services.lookup(files, find, cached=cached).collect()}
+    assert got == {"a": (0, "found"), "b": (0, "found"), "c": (5, "found"), "d": (0, "found")} and asked.value == 2
+
+
+def test_archives_within_bounds():
+    import io
+    import tarfile
+
+    b = io.BytesIO()
+    with tarfile.open(fileobj=b, mode="w:gz") as t:
+        for name, data in (("a", b"x" * 100), ("b/../c", b"y"), ("../d", b"z")):
+            i = tarfile.TarInfo(name)
+            i.size = len(data)
+            t.addfile(i, io.BytesIO(data))
+        i = tarfile.TarInfo("link")
+        i.type, i.linkname = tarfile.SYMTYPE, "/etc/passwd"
+        t.addfile(i)
+    data = b.getvalue()
+    assert [(p, s) for p, _, s in packages.members(data)] == [("a", "completed"), ("c", "completed"), ("../d", "refused"), ("link", "refused")]
+    assert packages.members(data, most_bytes=100)[0][2] == "too large" and packages.members(data, most_files=2)[0][2] == "too many files" and packages.members(b"")[0][2].startswith("error")
+
+
+def test_tables_are_discarded(spark):
+    df = tables.stored(spark.range(3), "few")
+    assert df.count() == 3
+    path = df.inputFiles()[0].rpartition("/")[0]
+    tables.discard(spark, path)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
