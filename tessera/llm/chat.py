@@ -27,8 +27,9 @@ def format_chats(turns: DataFrame) -> DataFrame:
     """conv_id, formatted and loss_spans (start, end in code points of each assistant text within formatted).
 
     Turns are sorted by turn, role and text (so ties and repeated rows have one order, and null turns come first); adjacent turns of one role become one block
-    whose texts a control string parts. Null texts and roles are empty; rows without conv_id are one conversation. One conversation is one output row, so it
-    is the largest group; rows are grouped by conversation and nothing wider.
+    whose texts a control string parts. Null texts and roles are empty; rows without conv_id are one conversation; an empty table gives none, and other columns
+    don't matter. Texts of any length come back whole. One conversation is one output row, so it is the largest group; rows are grouped by conversation and
+    nothing wider: rows whose conv_id was lost should get one before.
     """
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     per = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"), F.count(F.lit(1)).cast("int").alias("k"))

@@ -192,7 +192,8 @@ def carve(data: bytes) -> list[bytes]:
 
 
 def inspect(media: DataFrame, data: str = "data", declared: str = "declared") -> DataFrame:
-    """media (id, data, declared) with its confirmed type and the embedded media as structs. Rows with null data keep their declared type."""
+    """media (id, data, declared) with its confirmed type and the embedded media as structs. Rows with null data keep their declared type, and an empty table
+    gives none; data of any length is looked through whole."""
     source = media.select("id", media[data].alias("data"), media[declared].alias("declared"))
 
     def go(batches):
@@ -223,7 +224,8 @@ def _row(text: bytes) -> tuple:
 def store_texts(docs: DataFrame) -> DataFrame:
     """SCHEMA for each row of docs: its text stored as WAV samples and read back.
 
-    Null and empty texts are 64 zero bytes; repeated rows and equal texts have equal values; nothing is shuffled, and no more than a batch is in memory.
+    Null and empty texts are 64 zero bytes; repeated rows and equal texts have equal values; an empty table gives no rows, and columns beside doc_id and text
+    don't matter. Texts of any length are stored whole; nothing is shuffled, and no more than a batch is in memory.
     """
     small_batches(docs.sparkSession, 500)
 

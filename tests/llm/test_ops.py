@@ -189,6 +189,32 @@ def test_pii_rows(spark, tagger):
     assert pii.find(frame(spark, []), tagger).count() == 0
 
 
+def test_whatever_is_plausible_holds_a_trigger():
+    """So text without one can't add a span, and needn't be decoded."""
+    r = random.Random(3)
+    bits = ["a", "Z", "é", "7", "23", "@", "(at)", "[at]", "(at]", "(dot)", "[dot]", ".", " ", "-", "(", ")", "[", "]", "+", "_", "com", "00", "\n"]
+    plausible = 0
+    for _ in range(400_000):
+        s, k = "".join(r.choice(bits) for _ in range(r.randint(1, 9))), r.randrange(4)
+        if pii._plausible(k, s):
+            plausible += 1
+            assert pii.TRIGGER.search(s), s
+    assert plausible > 50
+    assert all(pii.TRIGGER.search(text[a:b]) for text, spans in pii.examples(500, 77) for k, a, b in spans if pii._plausible(k, text[a:b]))
+
+
+def test_mask_awkward(spark, tagger):
+    df = spark.createDataFrame(awkward(), SCHEMA)
+    for c in ("row", "spans", "kinds", "d"):
+        df = df.withColumn(c, F.lit(f"own {c}"))
+    out = pii.mask(df, tagger)
+    assert out.columns == df.columns
+    plain = lambda x: sorted(map(str, x.collect()))
+    kept = [r for r in df.collect() if not pii.base_spans(r["text"] or "")]
+    assert set(map(str, kept)) <= set(plain(out)) and out.count() == df.count()
+    assert pii.mask(df.limit(0), tagger).count() == 0
+
+
 # chat
 
 TURNS = "conv_id long, turn long, role string, text string"
@@ -220,6 +246,7 @@ def test_chat_round_trip(spark):
     same(back.select("conv_id", F.size("turns"), F.sha2(said, 256), F.length("loss_text"), F.sha2("loss_text", 256)), brute5(chats()))
     plan = back._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+    assert chat.read_back(chat.format_chats(df.limit(0))).count() == 0
 
 
 def test_chat_merges_adjacent_turns(spark):
@@ -290,6 +317,17 @@ def test_media_rows(spark):
     assert out.select("media_sha256", "feature").distinct().groupBy("media_sha256").count().filter("count > 1").count() == 0
     got = media.inspect(spark.createDataFrame([(1, bytearray(png() + GIF), "text/plain"), (2, None, "x")], "id long, data binary, declared string")).collect()
     assert {(r["id"], r["type"], len(r["embedded"] or [])) for r in got} == {(1, "image/png", 1), (2, "x", 0)}
+    assert media.store_texts(frame(spark, [])).count() == 0
+    assert media.inspect(spark.createDataFrame([], "id long, data binary, declared string")).count() == 0
+
+
+def test_media_features_by_brute_force(spark):
+    for r in media.store_texts(frame(spark, awkward())).collect():
+        texts = [t or "" for d, t, *_ in awkward() if d == r["doc_id"] and len((t or "").encode()) == r["n_bytes"]]
+        b = texts[0].encode()
+        p = b + bytes(-len(b) % 64) or bytes(64)
+        crossings = sum((x > 127) != (y > 127) for x, y in zip(p, p[1:]))
+        assert r["feature"] == f"audio/wav;rate=8000;frames={len(p)};level={sum(p)};crossings={crossings};embedded="
 
 
 # quality
