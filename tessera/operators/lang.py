@@ -263,10 +263,10 @@ def contexts(files: DataFrame) -> DataFrame:
 SOURCES = [
     *[("python", "input", x) for x in ("input", "sys.argv", "os.environ", "os.getenv", "request.args", "request.form", "request.json", "sys.stdin.read")], *[("javascript", "input", x) for x in ("process.argv", "process.env", "req.body", "req.query", "req.params")],
     *[("typescript", "input", x) for x in ("process.argv", "process.env", "req.body", "req.query")], *[("go", "input", x) for x in ("os.Args", "os.Getenv", "r.FormValue")], *[("java", "input", x) for x in ("System.getenv", "request.getParameter")],
-    *[("ruby", "input", x) for x in ("ARGV", "ENV", "params", "gets")], *[("php", "input", x) for x in ("$_GET", "$_POST", "$_REQUEST", "$_COOKIE")], *[("c_sharp", "input", x) for x in ("Environment.GetEnvironmentVariable", "Request.Query")], *[("rust", "input", x) for x in ("std::env::var", "std::env::args")],
+    *[("ruby", "input", x) for x in ("ARGV", "ENV", "params", "gets")], *[("php", "input", x) for x in ("$_REQUEST", "$_COOKIE", "$_GET", "$_POST")], *[("c_sharp", "input", x) for x in ("Environment.GetEnvironmentVariable", "Request.Query")], *[("rust", "input", x) for x in ("std::env::var", "std::env::args")],
 ]
 SINKS = [
-    *[("python", "command", x) for x in ("os.system", "os.popen", "subprocess.run", "subprocess.call", "subprocess.Popen", "subprocess.check_output")], *[("python", "code", x) for x in ("eval", "exec", "compile", "__import__")],
+    *[("python", "command", x) for x in ("subprocess.check_output", "os.popen", "subprocess.Popen", "subprocess.run", "os.system", "subprocess.call")], *[("python", "code", x) for x in ("eval", "exec", "compile", "__import__")],
     *[("python", "sql", x) for x in ("cursor.execute", "cursor.executemany", "session.execute")], *[("python", "file", x) for x in ("open", "os.remove", "shutil.rmtree")], *[("python", "network", x) for x in ("requests.get", "requests.post", "urllib.request.urlopen", "socket.connect")], *[("python", "deserialize", x) for x in ("pickle.loads", "yaml.load", "marshal.loads")],
     *[(k, "command", x) for k in ("javascript", "typescript") for x in ("child_process.exec", "child_process.spawn", "execSync")], *[(k, "code", x) for k in ("javascript", "typescript") for x in ("eval", "Function", "vm.runInContext")], *[(k, "network", x) for k in ("javascript", "typescript") for x in ("fetch", "axios.get", "axios.post")], *[(k, "file", x) for k in ("javascript", "typescript") for x in ("fs.readFile", "fs.writeFile", "fs.unlink")],
     *[("go", "command", x) for x in ("exec.Command",)], *[("go", "network", x) for x in ("http.Get", "http.Post")], *[("go", "file", x) for x in ("os.Open", "os.Remove", "ioutil.ReadFile")], *[("java", "command", x) for x in ("Runtime.exec", "ProcessBuilder")], *[("java", "sql", x) for x in ("Statement.executeQuery",)],

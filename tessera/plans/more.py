@@ -119,7 +119,7 @@ HOSTS = ["files.pythonhosted.org", "pypi.org", "registry.npmjs.org"]
 
 
 @query(rf"""with m(package, ecosystem, j) as ({values(META)}), f as (select package, ecosystem, case when ecosystem = 'npm' then json_extract_string(j, '$.dist.tarball') else coalesce((select json_extract_string(x, '$.url') from (select unnest(json_extract(j, '$.urls[*]')) as x) where json_extract_string(x, '$.packagetype') = 'sdist' limit 1), (select json_extract_string(x, '$.url') from (select unnest(json_extract(j, '$.urls[*]')) as x) where json_extract_string(x, '$.packagetype') = 'bdist_wheel' limit 1)) end as url from m)
-select package, url, regexp_matches(package, case when ecosystem = 'npm' then '^(@[a-z0-9][a-z0-9._-]*/)?[a-z0-9][a-z0-9._-]*$' else '^[A-Za-z0-9]([A-Za-z0-9._-]*[A-Za-z0-9])?$' end) as well_named,
+select package, url, regexp_matches(package, case when ecosystem = 'npm' then {quote(packages.NPM_NAME)} else {quote(packages.PYPI_NAME)} end) as well_named,
   coalesce(starts_with(lower(url), 'https://') and regexp_extract(url, '://([^/:]+)', 1) in ({", ".join(map(quote, HOSTS))}), false) as safe from f""")
 def src_14_flt_11_archives(spark, sf):
     """Which archive of a package is fetched, and whether its name and its URL may be used."""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .entities import prompts, tools
 
 EXCHANGE = "server string, method string, uri string, answer string"
-MISSING = ("method not found", "methodnotfound", "not implemented", "unsupported", "does not have", "doesn't have")
+MISSING = ("unsupported", "not implemented", "method not found", "does not have", "methodnotfound", "doesn't have")
 TIMEOUT_SECONDS = 60
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOST_FILES, MOST_BYTES = 10_000, 200 << 20
-PYPI_NAME, NPM_NAME = r"^[A-Za-z0-9](?:[A-Za-z0-9._-]*[A-Za-z0-9])?$", r"^(?:@[a-z0-9][a-z0-9._-]*/)?[a-z0-9][a-z0-9._-]*$"
+PYPI_NAME, NPM_NAME = r"^(?i:[0-9a-z]|[0-9a-z][-0-9_.a-z]*[0-9a-z])$", r"^(?:@[0-9a-z][-0-9_.a-z]*/)?[0-9a-z][-0-9_.a-z]*$"
 
 
 def valid_name(name: Column, ecosystem: Column) -> Column:

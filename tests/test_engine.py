@@ -266,11 +266,11 @@ def test_capability_scan_is_quick():
     """The ceilings of the reference's own tests: a search for markers over a thousand helpers, and one tool among two hundred."""
     import time
 
-    many = "".join(f"def helper_{i}(x):\n    return x + {i}\n" for i in range(1000))
+    many = "".join(f"def aide{i}(v):\n    return v * {i}\n" for i in range(1000))
     t = time.perf_counter()
     assert not re.search(code.MARKERS, many)
     assert time.perf_counter() - t < 0.05
-    one = "@mcp.tool\ndef f(x):\n    return helper_1(x)\n" + "".join(f"def helper_{i}(x):\n    return x + {i}\n" for i in range(200))
+    one = "@mcp.tool\ndef f(x):\n    return aide1(x)\n" + "".join(f"def aide{i}(v):\n    return v * {i}\n" for i in range(200))
     t = time.perf_counter()
     assert len(code.functions(one, "f.py")) == 1
     assert time.perf_counter() - t < 0.5
