@@ -30,6 +30,44 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def filter_bits(df: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bitmap of 2**bits bits that has those of all values of a column of 64-bit hashes, by their upper bits; blocks of it are merged by one task each."""
+    block = 1 << min(bits, 19)
+    shift = np.uint64(64 - bits)
+
+    def slots(batches):
+        for b in batches:
+            s = np.unique((b[column].to_numpy().view(np.uint64) >> shift).astype(np.int64))
+            edges = np.searchsorted(s, np.arange(0, (1 << bits) + 1, block))
+            full = np.flatnonzero(np.diff(edges)).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([(s[edges[k] : edges[k + 1]] % block).astype("<i4").tobytes() for k in full], pa.binary())], ["block", "at"])
+
+    def add(batches):
+        now, here = None, None
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(here).tobytes()], pa.binary())], ["block", "bits"])
+        for b in batches:
+            for k, at in zip(b["block"].to_pylist(), b["at"].to_pylist()):
+                if k != now:
+                    if now is not None:
+                        yield out()
+                    now, here = k, np.zeros(block, bool)
+                here[np.frombuffer(at, "<i4")] = True
+        if now is not None:
+            yield out()
+
+    maps = np.zeros(((1 << bits) // block, block // 8), np.uint8)
+    parts = df.select(column).mapInArrow(slots, "block int, at binary").repartition("block").sortWithinPartitions("block")
+    for r in parts.mapInArrow(add, "block int, bits binary").collect():  # 2**bits / 8 bytes at most
+        maps[r["block"]] = np.frombuffer(r["bits"], np.uint8)
+    return maps.reshape(-1)
+
+
+def may_have(maps: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of the hashes a bitmap of filter_bits may have; none that it was made of is missed."""
+    s = (values.view(np.uint64) >> np.uint64(64 - (len(maps) * 8).bit_length() + 1)).astype(np.int64)
+    return (maps[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1 == 1
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns that matter, whatever else the table has."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -13,13 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, joined, mix, small_batches, stored, table, texts, utf8, word_bounds, word_hashes
+from .common import chunks, filter_bits, joined, may_have, mix, small_batches, stored, table, texts, utf8, word_bounds, word_hashes
 
 WINDOW = 13
 #: Distinct windows of an index that is sent to every task. The windows of a larger benchmark are joined as a table, which gives the same rows.
 MOST_WINDOWS = 200_000
-#: Counters of words, and bits of the filter before the join with a large benchmark: 8 MB each, whatever the input.
-COUNTERS, FILTER = 1 << 20, 1 << 26
+#: Counters of words, and the binary logarithm of the bits of the filter before the join with a large benchmark: 8 MB each, whatever the input.
+COUNTERS, FILTER_BITS = 1 << 20, 26
 BLOCK = 1 << 16
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -160,41 +160,13 @@ def _keyed(windows: DataFrame) -> DataFrame:
     return windows.mapInArrow(go, "key long, at int, item_id string, win binary")
 
 
-def _filter(keyed: DataFrame) -> np.ndarray:
-    """A bitmap of FILTER bits of the keys."""
-
-    def go(batches):
-        for b in batches:
-            s = np.unique((b["key"].to_numpy().view(np.uint64) >> np.uint64(38)).astype(np.int64))
-            edges = np.searchsorted(s, np.arange(0, FILTER + 1, 8 * BLOCK))
-            full = np.flatnonzero(np.diff(edges)).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([(s[edges[k] : edges[k + 1]] % (8 * BLOCK)).astype("<i4").tobytes() for k in full], pa.binary())], ["block", "at"])
-
-    def add(batches):
-        now, bits = None, None
-        for b in batches:
-            for block, at in zip(b["block"].to_pylist(), b["at"].to_pylist()):
-                if block != now:
-                    if now is not None:
-                        yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["block", "bits"])
-                    now, bits = block, np.zeros(8 * BLOCK, bool)
-                bits[np.frombuffer(at, "<i4")] = True
-        if now is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["block", "bits"])
-
-    out = np.zeros((FILTER // (8 * BLOCK), BLOCK), np.uint8)
-    for r in keyed.select("key").mapInArrow(go, "block int, at binary").repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, bits binary").collect():
-        out[r["block"]] = np.frombuffer(r["bits"], np.uint8)  # at most 128 blocks of 64 KB
-    return out.reshape(-1)
-
-
 T1, T2 = "xxhash64(1, text)", "xxhash64(2, text)"
 
 
 def _joined_hits(docs: DataFrame, windows: DataFrame, window: int) -> DataFrame:
     """(t1, t2, spans, items) of each text (by T1, T2) that has a window: a join with the windows by their keys, verified by the words about each place."""
     keyed = stored(_keyed(windows), "keyed")
-    known = docs.sparkSession.sparkContext.broadcast(_filter(keyed))
+    known = docs.sparkSession.sparkContext.broadcast(filter_bits(keyed, "key", FILTER_BITS))
 
     def ask(batches):
         for b in batches:
@@ -202,8 +174,7 @@ def _joined_hits(docs: DataFrame, windows: DataFrame, window: int) -> DataFrame:
             for t1, t2, x in zip(b["t1"].to_pylist(), b["t2"].to_pylist(), utf8(b["text"])):
                 ws = words(x)
                 keys = _bigrams(_hashes(ws)) if ws else np.zeros((0, 3), np.uint64)
-                s = (keys >> np.uint64(38)).astype(np.int64)
-                for p, k in zip(*(x.tolist() for x in np.nonzero((known.value[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1))):
+                for p, k in zip(*(x.tolist() for x in np.nonzero(may_have(known.value, keys)))):
                     first = max(0, p - window + 1)
                     rows.append((int(keys[p, k].view(np.int64)), t1, t2, p, p - first, b" ".join(ws[first : p + window])))
             cols = list(zip(*rows)) or [[]] * 6
