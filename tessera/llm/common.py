@@ -22,7 +22,8 @@ BATCH_BYTES = 32 << 20
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bounds the Arrow batches that hold whole texts, by rows and by bytes; a longer text is a batch of its own. The session's own limits stay if smaller."""
+    """Bounds the Arrow batches that hold whole texts, by rows and by bytes; a longer text is a batch of its own. The session's own limits
+    stay if smaller. They have to stay set, for plans read them when they run."""
     rest = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
     if rest <= 0 or rest > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
