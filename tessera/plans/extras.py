@@ -111,12 +111,16 @@ def udf_03_06_answers(spark, sf):
     return adapters.ask(spark.createDataFrame(ANSWERS, "entity_id long, content string"), lambda s: s).select("entity_id", "answer")
 
 
-@query("select * from (values ('s.ts', 'run', 'lib/tools/run.ts'), ('t.ts', 'run', 'other/run.ts')) t(file, name, def_file)")
+WANTED, HANDLERS, TARGETS = [("s.ts", "run"), ("t.ts", "run"), ("s.ts", "absent")], [("other/run.ts", "run", 0), ("tools/x.ts", "run", 1), ("lib/tools/run.ts", "run", 2)], [("s.ts", "tools/run"), ("s.ts", "x")]
+
+
+@query(f"""with w(file, name) as ({values(WANTED)}), f(def_file, name, seq) as ({values(HANDLERS)}), i(file, target) as ({values(TARGETS)}),
+c as (select w.file, w.name, def_file, seq, case when ends_with(regexp_replace(def_file, '\\.\\w+$', ''), target) then length(target) else 0 end as fits from w join f on f.name = w.name left join i on i.file = w.file)
+select file, name, def_file from (select *, row_number() over (partition by file, name order by fits desc, seq) as k from c) where k = 1""")
 def jon_08_handlers(spark, sf):
-    wanted = spark.createDataFrame([("s.ts", "run"), ("t.ts", "run"), ("s.ts", "absent")], "file string, name string")
-    functions = spark.createDataFrame([("other/run.ts", "run", 0), ("tools/x.ts", "run", 1), ("lib/tools/run.ts", "run", 2)], "file string, name string, seq int")
-    imports = spark.createDataFrame([("s.ts", "tools/run"), ("s.ts", "x")], "file string, target string")
-    return adapters.resolve_handlers(wanted, functions, imports)
+    """The handler whose file ends with the longest target that its user imports, else the first."""
+    wanted, functions = spark.createDataFrame(WANTED, "file string, name string"), spark.createDataFrame(HANDLERS, "file string, name string, seq int")
+    return adapters.resolve_handlers(wanted, functions, spark.createDataFrame(TARGETS, "file string, target string"))
 
 
 @query("""select page_id, starts_with(lower(url), 'https://') and not regexp_matches(url, '^https?://[0-9.]+(/|$)') as allowed, regexp_matches(regexp_extract(url, '://([^/:]+)', 1), '^[A-Za-z0-9][A-Za-z0-9._-]*$') as well_named from pages""")

@@ -138,7 +138,12 @@ def src_02_prompts_json(spark, sf):
 RESOURCE_FILE = [("r.json", json.dumps({"resources": [{"uri": "u1", "text": "one", "mimeType": "text/plain"}, {"uri": "u1", "content": "two"}, {"uri": "u2", "mimeType": "image/png", "blob": "x"}], "contents": [{"uri": "u1", "text": "read"}, {"uri": "u3", "text": "lone", "mimeType": "text/html"}, {"uri": "u4", "blob": "x"}]}))]
 
 
-@query("""select * from (values ('r.json', 'u1', 0, 'one' || chr(10) || 'read', 'completed'), ('r.json', 'u1', 1, 'two', 'completed'), ('r.json', 'u2', 2, '', 'skipped'), ('r.json', 'u3', null, 'lone', 'skipped')) t(file, uri, pos, content, status)""")
+@query(f"""with f(file, j) as ({values(RESOURCE_FILE)}),
+l as (select file, unnest(json_extract(j, '$.resources[*]')) as r, unnest(range(json_array_length(j, '$.resources')::bigint))::int as pos from f), c as (select file, unnest(json_extract(j, '$.contents[*]')) as c, unnest(range(json_array_length(j, '$.contents')::bigint)) as k from f),
+listed as (select file, pos, coalesce(json_extract_string(r, '$.uri'), 'unknown') as uri, json_extract_string(r, '$.mimeType') as mime, json_extract_string(r, '$.text') as text, json_extract_string(r, '$.content') as content, row_number() over (partition by file, json_extract_string(r, '$.uri') order by pos) = 1 as first from l),
+parts as (select file, coalesce(json_extract_string(c, '$.uri'), 'unknown') as uri, string_agg(json_extract_string(c, '$.text'), chr(10) order by k) as text, arg_min(json_extract_string(c, '$.mimeType'), k) as mime from c group by all),
+b as (select coalesce(x.file, p.file) as file, coalesce(x.uri, p.uri) as uri, pos, coalesce(x.mime, case when pos is null then p.mime end) as mime, concat_ws(chr(10), x.text, x.content, case when pos is null or first then p.text end) as content from listed x full join parts p on x.file = p.file and x.uri = p.uri)
+select file, uri, pos, content, case when (mime is not null and mime <> 'text/plain') or content = '' then 'skipped' else 'completed' end as status from b where pos is not null or content <> ''""")
 def src_03_jon_02_resources_json(spark, sf):
     """A full join by uri in which each content is used once."""
     return entities.resources(spark.createDataFrame(RESOURCE_FILE, "file string, j string"), allowed=["text/plain"])
@@ -155,7 +160,11 @@ def src_04_html_text(spark, sf):
 CONFIG = [("c.json", json.dumps({"mcpServers": {"a": {"command": "npx", "args": ["-y", "x"]}, "b": {"serverUrl": "http://h"}, "c": {"URL": "http://u"}, "bad": {"x": 1}}})), ("v.json", json.dumps({"mcp": {"servers": {"d": {"url": "https://d"}}}})), ("e.json", "{}")]
 
 
-@query("""select * from (values ('c.json', 'a', 'npx', '-y x', null, 'stdio'), ('c.json', 'b', null, null, 'http://h', 'remote'), ('c.json', 'c', null, null, 'http://u', 'remote'), ('v.json', 'd', null, null, 'https://d', 'remote')) t(file, server, command, args, url, kind)""")
+@query(f"""with f(file, j) as ({values(CONFIG)}), m as (select file, coalesce(json_extract(j, '$.mcpServers'), json_extract(j, '$.mcp.servers'), json_extract(j, '$.mcp.mcpServers')) as m from f),
+s as (select file, unnest(json_keys(m)) as server, m from m where m is not null), o as (select file, server, json_extract(m, '$."' || server || '"') as o from s), k as (select file, server, o, unnest(json_keys(o)) as k from o),
+u as (select file, server, arg_min(json_extract_string(o, '$."' || k || '"'), k <> 'url') as url from k where lower(k) in ('url', 'serverurl') group by all)
+select file, server, json_extract_string(o, '$.command') as command, case when json_extract(o, '$.args') is not null then array_to_string(json_extract_string(o, '$.args[*]'), ' ') end as args, url, case when json_extract(o, '$.command') is not null then 'stdio' else 'remote' end as kind
+from o left join u using (file, server) where json_extract(o, '$.command') is not null or url is not null""")
 def src_10_11_client_config(spark, sf):
     out = entities.servers(spark.createDataFrame(CONFIG, "file string, j string"))
     return out.withColumn("args", F.array_join("args", " "))
@@ -164,7 +173,9 @@ def src_10_11_client_config(spark, sf):
 AUDIT_FILE = [("a.json", json.dumps({"dependencies": [{"name": "x", "version": "1", "vulns": [{"id": "V1", "fix_versions": ["2"], "aliases": ["C1", "C2"], "description": "d"}, {"id": "V2", "fix_versions": [], "aliases": [], "description": ""}]}, {"name": "y", "version": "2", "vulns": []}]}))]
 
 
-@query("""select * from (values ('a.json', 'x', '1', 'V1', 'HIGH', 'Vulnerable dependency: x==1 [V1] | Aliases: C1, C2 | Fix: 2'), ('a.json', 'x', '1', 'V2', 'MEDIUM', 'Vulnerable dependency: x==1 [V2] | Aliases: None | Fix: No fix available')) t(file, name, version, id, severity, summary)""")
+@query(f"""with f(file, j) as ({values(AUDIT_FILE)}), d as (select file, unnest(json_extract(j, '$.dependencies[*]')) as d from f), v as (select file, json_extract_string(d, '$.name') as name, json_extract_string(d, '$.version') as version, unnest(json_extract(d, '$.vulns[*]')) as v from d),
+x as (select file, name, version, json_extract_string(v, '$.id') as id, json_extract_string(v, '$.fix_versions[*]') as fixes, json_extract_string(v, '$.aliases[*]') as aliases from v)
+select file, name, version, id, case when len(fixes) > 0 then 'HIGH' else 'MEDIUM' end as severity, 'Vulnerable dependency: ' || name || '==' || version || ' [' || id || '] | Aliases: ' || case when len(aliases) > 0 then array_to_string(aliases, ', ') else 'None' end || ' | Fix: ' || case when len(fixes) > 0 then array_to_string(fixes, ', ') else 'No fix available' end as summary from x""")
 def src_15_prj_07_audit(spark, sf):
     return entities.audit(spark.createDataFrame(AUDIT_FILE, "file string, j string"))
 
@@ -214,11 +225,15 @@ def sta_03_evidence(spark, sf):
     return out.select("name", *[F.array_join(c, "|").alias(c) for c in _SHOWN])
 
 
-@query("""select * from (values ('server.py::fetch', 'helper.py::send'), ('server.py::fetch', 'requests.get'), ('helper.py::send', 'helper.py::clean')) t(caller, callee)""")
+CALLED, DEFINED, IMPORTED = [("server.py", "fetch", "helper.send"), ("server.py", "fetch", "requests.get"), ("helper.py", "send", "clean"), ("server.py", "fetch", "fetch")], [("helper.py", "send"), ("helper.py", "clean"), ("other.py", "send"), ("server.py", "fetch")], [("server.py", "helper.py"), ("server.py", "none.py")]
+
+
+@query(f"""with c(file, caller, name) as ({values(CALLED)}), f(file, name) as ({values(DEFINED)}), i(file, target) as ({values(IMPORTED)}), k as (select *, regexp_extract(name, '[^.]*$') as fn from c)
+select distinct k.file || '::' || caller as caller, coalesce((select f.file || '::' || f.name from f where f.file = k.file and f.name = fn), (select min(f.file) || '::' || min(f.name) from f join i on i.target = f.file where i.file = k.file and f.name = fn), k.name) as callee from k""")
 def jon_06_07_call_targets(spark, sf):
-    calls = spark.createDataFrame([("server.py", "fetch", "helper.send"), ("server.py", "fetch", "requests.get"), ("helper.py", "send", "clean")], "file string, caller string, name string")
-    functions = spark.createDataFrame([("helper.py", "send"), ("helper.py", "clean"), ("other.py", "send"), ("server.py", "fetch")], "file string, name string")
-    return graph.resolve_calls(calls, functions, spark.createDataFrame([("server.py", "helper.py")], "file string, target string"))
+    """A call's target: of its own file, else of an imported one, else the bare name."""
+    calls, functions = spark.createDataFrame(CALLED, "file string, caller string, name string"), spark.createDataFrame(DEFINED, "file string, name string")
+    return graph.resolve_calls(calls, functions, spark.createDataFrame(IMPORTED, "file string, target string"))
 
 
 @query("""with a as (select source, lang, min(doc_id) as doc_id from documents where contains(text, '@') group by all), b as (select source, lang, min(doc_id) as doc_id from documents group by all)

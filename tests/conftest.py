@@ -24,6 +24,9 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from tessera.operators.tables import purge
+
+    purge(session)
     session.stop()
 
 
