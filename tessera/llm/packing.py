@@ -21,8 +21,8 @@ LENGTH, EOS = 4096, 2
 QUANTUM = 512
 #: Bytes of text, about, that a task packs: a 4096th of all, within these bounds. A task holds their ids, a third to a half of that, in its queues.
 TASK_BYTES = (16 << 20, 256 << 20)
-#: Entries of a worker's memory of chunks and words.
-MOST_CHUNKS = 1_000_000
+#: Entries of a worker's memory of words and other chunks, some 200 bytes each.
+MOST_CHUNKS = 400_000
 
 SIMPLE = re.compile("([a-z\xdf-\xf6\xf8-\xff]+)([.,!?;:]*)")
 ODD = re.compile("[\x1c-\x1f\x85\xa0]|<\\|")
@@ -48,27 +48,28 @@ class Chunks(dict):
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.letters = _byte_letters()
-        self.pieces: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def __missing__(self, chunk: str) -> bytes:
+        m = SIMPLE.fullmatch(chunk)
+        if m and m[2]:  # made from its word and its punctuation each time, so a word is remembered once
+            return self[m[1]] + self.mark(m[2])
         if len(self) > MOST_CHUNKS:
             self.clear()
-        m = SIMPLE.fullmatch(chunk)
-        if m:
-            out = self.piece(m[1]) + (self.piece(m[2]) if m[2] else b"")
-        else:
-            out = np.array(self.whole.encode(chunk, add_special_tokens=False).ids, "<u2").tobytes()
-        self[chunk] = out
+        self[chunk] = out = self.piece(chunk) if m else np.array(self.whole.encode(chunk, add_special_tokens=False).ids, "<u2").tobytes()
         return out
 
-    def piece(self, p: str) -> bytes:
-        if (out := self.pieces.get(p)) is None:
-            if len(self.pieces) > MOST_CHUNKS:
-                self.pieces.clear()
-            mapped = p if p.isascii() else p.encode().decode("latin-1").translate(self.letters)
-            out = self.pieces[p] = np.array([x.id for x in self.model.tokenize(mapped)], "<u2").tobytes()
+    def mark(self, p: str) -> bytes:
+        if (out := self.marks.get(p)) is None:
+            if len(self.marks) > 10_000:
+                self.marks.clear()
+            out = self.marks[p] = self.piece(p)
         return out
 
+    def piece(self, p: str) -> bytes:
+        mapped = p if p.isascii() else p.encode().decode("latin-1").translate(self.letters)
+        return np.array([x.id for x in self.model.tokenize(mapped)], "<u2").tobytes()
+
     def ids(self, text: str) -> np.ndarray:
         latin = text.isascii() or _latin(text)
         if latin and not ODD.search(text):
