@@ -290,7 +290,3 @@ def suffix_match(path: Column, target: Column) -> Column:
     """Whether a path ends with a target, whole components only, both without source extensions and leading ./."""
     plain = lambda c: F.regexp_replace(F.regexp_replace(c, r"^(\./)+", ""), r"\.(py|pyi|js|jsx|ts|tsx|mjs|cjs|go|rb|rs|kt|kts|java|cs|php)$", "")
     return (plain(path) == plain(target)) | F.endswith(plain(path), F.concat(F.lit("/"), plain(target)))
-
-
-def as_json(x) -> str:
-    return json.dumps(x, sort_keys=True)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.dialect import Duck
-from ..operators import adapters, code
+from ..operators import adapters
 from .base import query, table
-from .tools import SOURCES, TOOL_ROWS, values
+from .tools import TOOL_ROWS, values
 
 
 @query(f"with t(entity_id, j) as ({values(TOOL_ROWS)}) select entity_id, array_to_string(list_sort([k for k in {Duck().keys('$')} if k <> 'description']), ',') as fields from (select entity_id, j::json as j from t)")
