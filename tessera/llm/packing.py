@@ -22,7 +22,7 @@ QUANTUM = 512
 #: Bytes of text, about, that a task packs: a 4096th of all, within these bounds. A task holds their ids, a third to a half of that, in its queues.
 TASK_BYTES = (16 << 20, 256 << 20)
 #: Entries of a worker's memory of words and other chunks, some 200 bytes each.
-MOST_CHUNKS = 400_000
+MOST_CHUNKS = 800_000
 
 SIMPLE = re.compile("([a-z\xdf-\xf6\xf8-\xff]+)([.,!?;:]*)")
 ODD = re.compile("[\x1c-\x1f\x85\xa0]|<\\|")
