@@ -21,7 +21,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of copies and near copies (five-word shingles, similarity 0.8), one document stays."""
+    """Of each group of copies and near copies (SimHash within two bits, as op 8 links them, or five-word shingles at similarity 0.8), one document stays."""
     return near.keep_one(docs)
 
 

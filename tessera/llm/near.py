@@ -1,6 +1,7 @@
-"""Near copies by similarity: a prefix filter over five-word shingles finds every candidate, whole shingle sets decide.
+"""Near copies by SimHash and by similarity: fingerprints link as in op 8, and a prefix filter over five-word shingles finds what they can't, which whole shingle sets decide.
 
-Two sets with a similarity of at least 0.8 share one of the first n - ceil(0.8 n) + 1 of their n shingles, in whatever order all texts' shingles are put. Here
+SimHash with multi-index hashing (see simhash) links texts whose fingerprints differ in two bits at most. Of texts that are 80 % alike many are further apart, so
+these are joined besides; a group is what either kind of link reaches. Two sets with a similarity of at least 0.8 share one of the first n - ceil(0.8 n) + 1 of their n shingles, in whatever order all texts' shingles are put. Here
 those that are commonest in a sample come last, which affects only how many candidates there are. Candidates that share a shingle with the least text of its
 group are decided first; the others only where that didn't join them already, so that a large group of near copies isn't compared pair by pair; and where a shingle is
 shared by very many texts that aren't alike, it is moved to the end of the order first, which takes it out of the prefixes. Bitmaps, which
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, TWO, filter_bits, joined, may_have, mix, small_batches, stored, utf8, word_bounds, word_hashes
 from .components import components
+from .simhash import fingerprint, links
 
 SHINGLE, SIMILAR = 5, 0.8
 #: Texts, about, whose shingles are counted for the order, and the most shingles that are known as common.
@@ -156,6 +158,22 @@ def _once(batches):
         yield out
 
 
+def _linked(texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) that join the texts (h, text) as links between their fingerprints do: each text with the least of its fingerprint, and the least ones of
+    fingerprints that are linked."""
+
+    def go(batches):
+        for rows in _once(batches):
+            fps = np.array([fingerprint(x) for _, x in rows], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in rows], pa.int64()), pa.array(fps)], ["h", "fp"])
+
+    prints = stored(texts.mapInArrow(go, "h long, fp long").distinct(), "near-prints")
+    least = prints.groupBy("fp").agg(F.min("h").alias("h0"))
+    same = prints.hint("merge").join(least.hint("merge"), "fp").filter("h != h0").select(F.col("h0").alias("a"), F.col("h").alias("b"))
+    apart = _both(links(prints), least.select(F.col("fp").alias("h"), "h0"), ["h0"]).select(F.col("h0a").alias("a"), F.col("h0b").alias("b"))
+    return stored(same.union(apart), "near-linked")
+
+
 def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that a sample of the texts has more than once, sorted, and how often."""
     share = min(1.0, SAMPLE / max(1, docs.count()))
@@ -248,6 +266,7 @@ def _with(common: tuple[np.ndarray, np.ndarray], rows: pa.Table) -> tuple[np.nda
 def keep_one(docs: DataFrame, similar: float = SIMILAR, most_open: int = MOST_OPEN) -> DataFrame:
     """The rows of docs, unchanged, one of each group of copies and near copies: that of the least doc_id (a missing one is least), of equals the first stored.
 
+    Texts are near copies if their fingerprints are linked (see simhash), or their shingle sets are as similar as that, and so is what such links reach.
     Equal texts are one node. Null and empty texts are copies of each other. An empty table gives none; columns of any name stay as they are, and texts of any
     length count whole. The rows are numbered in a table of their own, so docs needn't be read alike each time.
     """
@@ -266,13 +285,13 @@ def keep_one(docs: DataFrame, similar: float = SIMILAR, most_open: int = MOST_OP
         pairs = stored(_likely(pairs, _of_ends(hashed, pairs, False), similar), f"{name}-likely")
         return stored(_decided(pairs, _of_ends(hashed, pairs, True), similar), name)
 
-    common, edges, done = _common(hashed), None, None
+    common, edges, done = _common(hashed), _linked(hashed), None
     for again in range(REORDERED + 1):
         keys = stored(_prefixes(hashed, similar, common).repartition("k").sortWithinPartitions("k", "h").mapInArrow(_shared_keys, "k long, h long, n long, at long, h0 long, n0 long, at0 long"), "near-keys")
         near = keys.filter("h != h0").filter(_possible(similar, c("n"), c("at"), c("n0"), c("at0"))).select(c("h0").alias("a"), c("h").alias("b")).distinct()
         near = stored(near if done is None else near.hint("merge").join(done.hint("merge"), ["a", "b"], "left_anti"), "near-first")
         found = alike(near, "near-edges")
-        edges, done = (found, near) if done is None else (edges.union(found), done.union(near))
+        edges, done = edges.union(found), near if done is None else done.union(near)
         roots = components(edges, "near-roots").withColumnRenamed("node", "h")
         rooted = stored(keys.select("k", "h", "n", "at").hint("merge").join(roots.hint("merge"), "h", "left").withColumn("root", F.coalesce("root", "h")), "near-rooted")
         crowded = rooted.groupBy("k").agg(F.countDistinct("root").alias("n")).filter(c("n") > most_open).orderBy(F.desc("n"), "k").limit(MOST_COMMON).toArrow()

@@ -161,6 +161,35 @@ def test_keep_one_finds_appended_and_truncated_copies(spark):
     assert kept == set(range(0, len(rows), 2))
 
 
+def test_keep_one_joins_what_fingerprints_link(spark):
+    """Lines repeated over and over, with unlike ends: fingerprints are equal or within two bits, shingle sets aren't alike. Groups are those of both kinds of links."""
+    from tests.llm.test_dedup import finger
+
+    r, rows = random.Random(8), varied(groups=3)
+    for width in (7, 8):
+        line = " ".join(prose(r, width).split()) + " "
+        rows += [(1000 * width + i, line * 6 + " ".join(f"e{width}n{i}w{j}" for j in range(8)), "en", "s", 1) for i in range(90)]
+    sets, fps = [shingles(t) for _, t, *_ in rows], [finger(t) for _, t, *_ in rows]
+    root, kinds = list(range(len(rows))), set()
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            bits, similar = (fps[i] ^ fps[j]).bit_count(), 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+            if bits <= 2 or similar:
+                root[find(i)] = find(j)
+                kinds.add((bits if bits <= 2 else "far", similar))
+    assert {(0, False), (1, False), (2, False), ("far", True)} <= kinds
+    least = {}
+    for i, (d, *_) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), d), d)
+    assert {x["doc_id"] for x in near.keep_one(spark.createDataFrame(rows, SCHEMA).coalesce(2)).collect()} == set(least.values())
+
+
 def test_shared_keys_across_batches():
     import numpy as np
     import pyarrow as pa
