@@ -3,8 +3,10 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from tessera.llm import regions, simhash, substring, suffix
@@ -70,6 +72,23 @@ def test_suffix_dedup_with_hot_cores(spark, batch, hot):
     same(suffix.suffix_dedup(frame(spark, rows), batch=batch, hot=hot), brute1(rows))
 
 
+def test_windows_of_hot_cores_are_cut_piece_by_piece():
+    """One batch of documents that belong to hot cores throughout: a worker holds a bounded number of windows, and what repeats is found across pieces."""
+    rng = random.Random(6)
+    gram, shared = rng.randbytes(273), rng.randbytes(127)
+    places = [{"place": s << 10 | 128 << 2 | 2, "covered": False, "core": 7} for s in range(0, 1537, 128)]
+    docs = [b"".join((shared if j == 2 and i in (3, 96) else rng.randbytes(127)) + gram for j in range(6))[:2063] for i in range(100)]
+    batch = pa.RecordBatch.from_pylist([{"d": i, "t": 1, "z": zstandard.compress(x), "spans": places} for i, x in enumerate(docs)])
+    pieces = list(suffix._cut([batch]))
+    assert sum(p.num_rows for p in pieces) == 100 * 13 * 128
+    assert max(p.num_rows for p in pieces) <= 100_128
+    rows = pa.Table.from_batches(pieces).sort_by([("core", "ascending"), ("w", "ascending")]).combine_chunks().to_batches()
+    got = Counter((d, s >> 8) for o in suffix._index(512)(rows) for d, s in zip(o["d"].to_pylist(), o["span"].to_pylist()))
+    seen = Counter(x[i : i + 400] for x in docs for i in range(1664))
+    assert got == Counter((d, i) for d, x in enumerate(docs) for i in range(1664) if seen[x[i : i + 400]] > 1)
+    assert {d for d, _ in got} == {3, 96}
+
+
 def test_suffix_dedup_of_rows_without_id(spark):
     """Many texts that have no id to tell them apart, half with one passage, which nothing else may lose."""
     rng = random.Random(8)
