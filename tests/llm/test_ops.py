@@ -625,3 +625,18 @@ def test_url_sql(spark, sf):
     against_sql(spark, sf, urls.op10, urls.SQL10, ["pages"])
     plan = urls.op10(spark, sf)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_op10_has_the_contracts_words(spark, sf, tmp_path):
+    """SQL10 says block of net/de/, where the contract says allow; in all else op10 equals it."""
+    rows = [
+        (1, "http://net/de/", None), (2, "http://www.x.NET/de/1?q#f", ""), (3, "http://example.net/de/7", ""), (4, "http://a.example.net/de/80", ""), (5, "http://x.net/en/", ""),
+        (6, "http://example.com/en/7", ""), (7, "http://example.com/en/8", ""), (8, "http://o.org/es/", ""), (9, "http://h.xyz/", '<link rel=canonical href="http://y.net/de/5">'), (10, "http://x.net/de", ""),
+    ]
+    spark.createDataFrame(rows, PAGE).write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.op10(spark, str(tmp_path)).collect()}
+    assert got == {
+        1: ("net/de/", "allow"), 2: ("net/de/", "allow"), 3: ("net/de/", "allow"), 4: ("example.net/de/8", "block"), 5: (None, "allow"),
+        6: ("example.com/en/7", "allow"), 7: ("com/en/", "block"), 8: ("org/es/", "block"), 9: (None, "allow"), 10: (None, "allow"),
+    }
+    against_sql(spark, sf, urls.op10, urls.SQL10.replace("('block', 'net', '/de/')", "('allow', 'net', '/de/')"), ["pages"])
