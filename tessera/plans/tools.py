@@ -154,7 +154,7 @@ u as (select page_id, [trim(case when regexp_matches(x, '(?i)^<(script|style)\b'
 select page_id, array_to_string([x for x in ts if x <> ''], chr(10)) as text from u""".replace("html_unescape(x)", "replace(replace(replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&nbsp;', chr(160)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"))
 def src_04_html_text(spark, sf):
     pages = table(spark, sf, "pages").select("page_id", "html")
-    return pages.select("page_id", entities.html_text(F.col("html")).alias("text"))
+    return pages.select("page_id", entities.html_text(F.col("html"), as_sql=True).alias("text"))
 
 
 CONFIG = [("c.json", json.dumps({"mcpServers": {"a": {"command": "npx", "args": ["-y", "x"]}, "b": {"serverUrl": "http://h"}, "c": {"URL": "http://u"}, "bad": {"x": 1}}})), ("v.json", json.dumps({"mcp": {"servers": {"d": {"url": "https://d"}}}})), ("e.json", "{}")]

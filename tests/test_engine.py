@@ -3,6 +3,7 @@ import random
 import re
 from re import _parser as parser
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,6 +189,22 @@ def test_html_text():
     assert {k: entities._text(k) for k in cases} == cases
 
 
+def test_html_text_equals_its_sql_on_any_page(spark, tmp_path):
+    from tessera.plans import registry, tools
+    from tests.compare import rows
+
+    r = random.Random(4)
+    bits = ["<p>", "</p >", "a ", "b", "&amp", "&amp;", "&am", "&lt;", "&LT;", "&#39;", "&nbsp;", "&eacute;", "&amp;lt;", "<", ">", "<!--", "-->", "<script>", "<SCRIPT x='>'>", "</script\t>", "<style", "</Style>", "<scripts>", "\x0b", "\x1f", "\xa0", "\u2003", "\n", "é", "ſ"]
+    cases = ["".join(r.choices(bits, k=r.randint(1, 14))) for _ in range(4000)] + ["<title>a&amp;&amp</title>", "", None, "<script></style>x</script>", "<script><script>", "<!-->x-->y", "<ſcript>&amp;</script>", "<a", "x" * 300_000]
+    spark.createDataFrame(list(enumerate(cases)), "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    with duckdb.connect() as con:
+        con.execute(f"create view pages as from '{tmp_path}/pages.parquet/*.parquet'")
+        want = rows(["page_id", "text"], con.execute(registry.SQL["src_04_html_text"]).fetchall())
+    got = rows(["page_id", "text"], [tuple(x) for x in tools.src_04_html_text(spark, str(tmp_path)).collect()])
+    assert [(x, y, cases[x[0]]) for x, y in zip(got, want) if x != y] == [] and len(got) == len(want)
+    assert entities._text_as_sql("<script>" * 100_000 + "<script " * 100_000 + "<!--" * 100_000).count("!--") == 100_000  # each end is sought once
+
+
 def _brute_reaching(g):
     """Definitions along all ways of bounded length, by walking them."""
     out = {n: set() for n in g.nodes}
