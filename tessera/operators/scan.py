@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions import rules, taxonomy
 from ..functions.rulefile import RuleSet, needs
+from .batches import small_batches
 
 FINDING = ("entity_id", "seq", "analyzer", "severity", "threat_category", "threat_type", "summary", "content_type")
 
@@ -106,7 +107,9 @@ class Matcher:
 
 
 def found(contents: DataFrame, rule_set: RuleSet | None = None) -> DataFrame:
-    """contents (entity_id, content, ...) with `rules` (see matched_rules) and `missing`, numbers of the defences that a content lacks; null for blank ones."""
+    """contents (entity_id, content, ...) with `rules` (see matched_rules) and `missing`, numbers of the defences that a content lacks; null for blank ones.
+    A worker holds a batch's contents, so the session's Arrow batches are bounded (see small_batches)."""
+    small_batches(contents.sparkSession)
     known = rule_set or rules.DEFAULT
     held: list[Matcher] = []
 
@@ -172,7 +175,8 @@ def defense_rows(first: int = 0) -> Column:
 
 
 def _exploded(df: DataFrame, rows: Column, also: tuple[str, ...]) -> DataFrame:
-    return df.select("entity_id", *also, F.explode(rows).alias("f")).select("entity_id", *also, "f.*")
+    """A row for each of `rows`. A plain explode would have a filter of its own pushed below the UDF, which would then run twice, in two workers a task."""
+    return df.select("entity_id", *also, F.explode_outer(rows).alias("f")).filter("f is not null").select("entity_id", *also, "f.*")
 
 
 def rule_findings(contents: DataFrame, content_type: str = "description", rule_set: RuleSet | None = None, also: tuple[str, ...] = ()) -> DataFrame:

@@ -189,6 +189,34 @@ def test_html_text():
     assert {k: entities._text(k) for k in cases} == cases
 
 
+@pytest.mark.parametrize("name", ["agg_04_taxonomy_hierarchy", "srt_04_sorted_names", "flt_01_report_filters"])
+def test_contents_are_scanned_once(spark, sf, name):
+    """A filter that repeats the UDF would have each task hold two workers and scan all twice."""
+    from tessera.plans import registry
+
+    plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_scan_bounds_what_a_worker_holds(spark):
+    import pandas as pd
+
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(n, None) for n in names]
+    try:
+        for n in names:
+            spark.conf.unset(n)
+        texts = spark.range(9_000, numPartitions=1).select(F.col("id").alias("entity_id"), F.when(F.col("id") < 8_900, "eval(x)").otherwise(F.repeat(F.lit("y"), 1_000_000)).alias("content"))
+        scan.findings(texts)
+        held = F.pandas_udf(lambda s: pd.Series([f"{len(s)} {s.str.len().sum()}"] * len(s)), "string")
+        batches = [tuple(map(int, r[0].split())) for r in texts.select(held("content")).distinct().collect()]
+        assert max(n for n, _ in batches) <= 2_000 and max(size for _, size in batches) < 40_000_000
+        assert scan.rule_findings(texts.filter("entity_id between 8890 and 8910")).count() == 10
+    finally:
+        for n, x in zip(names, before):
+            spark.conf.unset(n) if x is None else spark.conf.set(n, x)
+
+
 def test_html_text_equals_its_sql_on_any_page(spark, tmp_path):
     from tessera.plans import registry, tools
     from tests.compare import rows
